@@ -1,15 +1,25 @@
 """Quantities, durations and unit conversion as column expressions."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions import words as W
 from quern.functions.text import is_part_name
 
+_SEP = "\u0001"
+
 # quantity, bracket, unit, name of an ingredient line
 _LINE = (r"(?iU)^\s*(" + W.QUANTITY + r")?\s*(?:\(([^)]*)\)\s*)?(" + W.UNIT_PATTERN + r")?\.?\s+(.+?)\s*$")
 
 
+def groups(c: Column, pattern: str, n: int) -> Column:
+    """The first n groups of an anchored pattern (and the rest of the text after
+    it) as an array from one pass; null without a match."""
+    marks = _SEP.join(f"${i}" for i in range(1, n + 1)) + _SEP
+    got = F.split(F.regexp_replace(c, pattern, marks), _SEP)
+    return F.when(c.contains(_SEP), F.lit(None)).when(c.rlike(pattern), got)
+
+
 def canonical_unit(u: Column) -> Column:
     u = F.lower(F.trim(u))
     out = None
@@ -19,59 +29,56 @@ def canonical_unit(u: Column) -> Column:
     return out.otherwise(u)
 
 
-def parse_line(raw: Column) -> Column:
-    """struct(quantity, unit, name) of one ingredient line."""
+def with_parsed(df: DataFrame, raw: str) -> DataFrame:
+    """Adds quantity, unit and name of an ingredient line, in stages so that
+    each regular expression runs once per row."""
     line = F.trim(F.ltrim(F.trim(F.substring(raw, 1, W.TEXT_MAX_LINE)), F.lit("-*•")))
-    # the pattern wants a blank before the name; a line without amount starts with its name
-    got = lambda n: F.regexp_extract(line, _LINE, n)
-    matched = line.rlike(_LINE)
-    qty, paren, unit, name = got(1), got(2), got(3), F.trim(got(4))
-    name = F.when(paren != "", F.concat(name, F.lit(" ("), F.trim(paren), F.lit(")"))).otherwise(name)
-    moved = F.regexp_replace(name, r"^\(\s*([^)]*?)\s*\)\s*(.+)$", "$2 ($1)")
-    bare = F.regexp_replace(moved, r"(?iU)^(?:de\s+|d['’]\s*)", "")
-    with_unit = F.when(bare == "", moved).otherwise(bare)
-    return F.when(line == "", F.struct(F.lit(None).cast("string").alias("quantity"),
-                                       F.lit(None).cast("string").alias("unit"), F.lit("").alias("name"))).when(
-        ~matched, F.struct(F.lit(None).cast("string").alias("quantity"),
-                           F.lit(None).cast("string").alias("unit"), line.alias("name"))).otherwise(
-        F.struct(F.nullif(F.trim(qty), F.lit("")).alias("quantity"),
-                 F.when(unit != "", canonical_unit(unit)).alias("unit"),
-                 F.when(unit != "", with_unit).otherwise(name).alias("name")))
+    d = df.withColumn("_line", line)
+    d = d.withColumn("_g", F.when(F.col("_line") != "", groups(F.col("_line"), _LINE, 4)))
+    g = lambda i: F.trim(F.get("_g", F.lit(i)))
+    paren = F.get("_g", F.lit(1))
+    d = d.withColumns({"_qty": F.nullif(g(0), F.lit("")), "_unit": F.nullif(g(2), F.lit("")), "_name": F.when(
+        paren != "", F.concat(g(3), F.lit(" ("), F.trim(paren), F.lit(")"))).otherwise(g(3))})
+    moved = F.regexp_replace("_name", r"^\(\s*([^)]*?)\s*\)\s*(.+)$", "$2 ($1)")
+    d = d.withColumn("_moved", F.when(F.col("_unit").isNotNull(), moved))
+    bare = F.nullif(F.regexp_replace("_moved", r"(?iU)^(?:de\s+|d['’]\s*)", ""), F.lit(""))
+    return d.withColumns({
+        "quantity": F.col("_qty"), "unit": canonical_unit(F.col("_unit")),
+        "name": F.coalesce(bare, "_moved", "_name", "_line")}).drop("_line", "_g", "_qty", "_unit", "_name", "_moved")
 
 
 _LEADING = (r"(?i)^(\s*)(" + W.AMOUNT + r")(?:(\s*(?:-|–|—|to|à|a|or|ou)\s*)(" + W.AMOUNT + r"))?"
             r"(?=[\s(]|[^\d\s/.,]|$)")
-_VALUES = F.create_map(*[F.lit(x) for kv in W.FRACTION_VALUES.items() for x in kv])
+_SLASH = r"^(?:(\d+)\s+)?(\d+)\s*/\s*(\d+)$"
+_UNI = r"^(\d*)\s*([" + W.FRACTION_CHARS + r"])$"
 
 
 def amount_value(c: Column) -> Column:
     """The number an amount means: "1 1/2", "1½", "3/4", "1,5", "2"."""
-    t = F.trim(c)
     num = lambda s: s.try_cast("double")
-    mixed = r"^(\d+)\s+(\d+)\s*/\s*(\d+)$"
-    uni = r"^(\d+)\s*([" + W.FRACTION_CHARS + r"])$"
-    simple = r"^(\d+)\s*/\s*(\d+)$"
-    x = lambda p, n: num(F.regexp_extract(t, p, n))
-    return (F.when(t.rlike(mixed), x(mixed, 1) + F.when(x(mixed, 3) != 0, F.try_divide(x(mixed, 2), x(mixed, 3))).otherwise(0.0))
-            .when(t.rlike(uni), x(uni, 1) + F.try_element_at(_VALUES, F.regexp_extract(t, uni, 2)))
-            .when(t.rlike(simple), F.try_divide(x(simple, 1), x(simple, 2)))
-            .when(F.length(t) == 1, F.coalesce(F.try_element_at(_VALUES, t), num(t)))
-            .otherwise(num(F.replace(t, F.lit(","), F.lit(".")))))
-
-
-def leading(c: Column) -> Column:
-    """struct(lead, low_text, sep, high_text, low, high, rest, kept): the amount
-    a line starts with; kept = it starts with one that stays as written."""
-    got = lambda n: F.regexp_extract(c, _LEADING, n)
-    rest = F.substring(c, F.length(got(0)) + 1, F.length(c))
-    multiplier = F.lower(F.regexp_extract(rest, r"(?i)^\s*([a-zA-ZÀ-ÿ×]+)", 1)).isin("x", "×")
-    odd = got(2).rlike(W.AMBIGUOUS_THOUSANDS) | got(4).rlike(W.AMBIGUOUS_THOUSANDS)
-    has = c.rlike(_LEADING) & ~is_part_name(c)
-    return F.when(has, F.struct(
-        got(1).alias("lead"), got(2).alias("low_text"), got(3).alias("sep"), got(4).alias("high_text"),
-        amount_value(got(2)).alias("low"), F.when(got(4) != "", amount_value(got(4))).alias("high"),
-        rest.alias("rest"), (odd | (~multiplier & rest.rlike(W.SECOND_AMOUNT))).alias("kept"),
-        (odd | rest.rlike(W.SECOND_AMOUNT)).alias("unsure")))
+    x = lambda p, n: num(F.regexp_extract(c, p, n))
+    values = F.create_map(*[F.lit(v) for kv in W.FRACTION_VALUES.items() for v in kv])
+    ratio = F.try_divide(x(_SLASH, 2), x(_SLASH, 3))
+    whole = x(_SLASH, 1)
+    return (F.when(c.contains("/"), F.when(whole.isNull(), ratio).otherwise(whole + F.coalesce(ratio, F.lit(0.0))))
+            .when(c.rlike(_UNI), F.coalesce(x(_UNI, 1), F.lit(0.0)) + F.try_element_at(values, F.regexp_extract(c, _UNI, 2)))
+            .otherwise(num(F.replace(c, F.lit(","), F.lit(".")))))
+
+
+def with_leading(df: DataFrame, line: str) -> DataFrame:
+    """Adds what a line starts with: _lead, _low_text, _sep, _high_text, _rest
+    (null without an amount), _low and _high as numbers, and _unsure: a thousands
+    sign or a second amount, so that nothing is converted."""
+    d = df.withColumn("_g", F.when(~is_part_name(F.col(line)), groups(F.col(line), _LEADING, 4)))
+    g = lambda i: F.get("_g", F.lit(i))
+    d = d.withColumns({"_lead": g(0), "_low_text": F.trim(g(1)), "_sep": g(2), "_high_text": F.nullif(F.trim(g(3)), F.lit("")), "_rest": g(4)})
+    odd = F.col("_low_text").rlike(W.AMBIGUOUS_THOUSANDS) | F.coalesce(F.col("_high_text").rlike(W.AMBIGUOUS_THOUSANDS), F.lit(False))
+    return d.withColumns({"_low": amount_value(F.col("_low_text")), "_high": amount_value(F.col("_high_text")), "_odd": odd,
+                          "_second": F.col("_rest").rlike(W.SECOND_AMOUNT),
+                          "_times": F.lower(F.regexp_extract("_rest", r"(?i)^\s*([a-zA-ZÀ-ÿ×]+)", 1)).isin("x", "×")}).drop("_g")
+
+
+LEADING_COLUMNS = ["_lead", "_low_text", "_sep", "_high_text", "_rest", "_low", "_high", "_odd", "_second", "_times"]
 
 
 _NICE = [(1 / 8, "1/8", "⅛"), (1 / 6, "1/6", "⅙"), (1 / 4, "1/4", "¼"), (1 / 3, "1/3", "⅓"), (3 / 8, "3/8", "⅜"),
@@ -103,25 +110,24 @@ def show_amount(v: Column, original: Column) -> Column:
             .when(near["d"] >= 0.03, _plain(v)).otherwise(fraction))
 
 
-def _unit_factor(rest: Column, table) -> Column:
-    """struct(factor, rest after the unit) for the first unit that starts it."""
-    spaced = F.ltrim(rest)
-    out = F.lit(None).cast("struct<factor:double,rest:string>")
-    for pattern, factor in reversed(table):
-        p = "^" + pattern
-        out = F.when(spaced.rlike(p), F.struct(
-            F.lit(float(factor)).alias("factor"),
-            F.regexp_replace(spaced, p, "").alias("rest"))).otherwise(out)
-    return out
+def _unit_columns(df: DataFrame, table: list) -> DataFrame:
+    """Adds _factor and _after for the first unit that starts _rest."""
+    d = df.withColumn("_spaced", F.ltrim("_rest"))
+    factor = F.lit(None).cast("double")
+    for pattern, value in reversed(table):
+        factor = F.when(F.col("_spaced").rlike("^" + pattern), float(value)).otherwise(factor)
+    d = d.withColumn("_factor", factor)
+    any_unit = "^(?:" + "|".join(p for p, _v in table) + ")"
+    return d.withColumn("_after", F.when(F.col("_factor").isNotNull(), F.regexp_replace("_spaced", any_unit, ""))).drop("_spaced")
 
 
-def volume_unit(rest: Column) -> Column:
+def with_volume_unit(df: DataFrame) -> DataFrame:
     table = [("(?i:" + p + ")", f) for p, f in W.VOLUME_UNITS]
-    return _unit_factor(rest, table[:4] + W.VOLUME_LETTERS + table[4:])
+    return _unit_columns(df, table[:4] + W.VOLUME_LETTERS + table[4:])
 
 
-def weight_unit(rest: Column) -> Column:
-    return _unit_factor(rest, [("(?i:" + p + ")", f) for p, f in W.WEIGHT_UNITS])
+def with_weight_unit(df: DataFrame) -> DataFrame:
+    return _unit_columns(df, [("(?i:" + p + ")", f) for p, f in W.WEIGHT_UNITS])
 
 
 def name_part(rest: Column) -> Column:
@@ -150,18 +156,15 @@ def kitchen_unit(cups: Column, lang: str = "en") -> Column:
             .when(cups / size["tbsp"] >= 1 - 1e-9, "tbsp").otherwise("tsp"))
 
 
-def kitchen_amount(cups: Column, lang: str = "en") -> Column:
-    """Nearest whole-and-fraction of the unit that fits, never zero."""
-    unit = kitchen_unit(cups, lang)
-    out = None
-    for name, fractions in _FRACTIONS.items():
-        v = cups / _CUPS[lang][name]
-        whole = F.floor(v)
-        near = F.array_min(F.array(*[F.struct(F.abs(v - whole - f).alias("d"), F.lit(i).alias("i"), F.lit(float(f)).alias("f"))
-                                     for i, f in enumerate(fractions)]))["f"]
-        value = F.greatest(whole + near, F.lit(float(fractions[1])))
-        out = F.when(unit == name, value) if out is None else out.when(unit == name, value)
-    return out
+def kitchen_amount(cups: Column, unit: Column, lang: str = "en") -> Column:
+    """Nearest whole-and-fraction of the unit, never zero."""
+    size = F.when(unit == "cup", _CUPS[lang]["cup"]).when(unit == "tbsp", _CUPS[lang]["tbsp"]).otherwise(_CUPS[lang]["tsp"])
+    as_array = lambda n: F.array(*[F.lit(float(f)) for f in _FRACTIONS[n]])
+    steps = F.when(unit == "cup", as_array("cup")).when(unit == "tbsp", as_array("tbsp")).otherwise(as_array("tsp"))
+    v = cups / size
+    part = v - F.floor(v)
+    near = F.array_min(F.transform(steps, lambda f: F.struct(F.abs(part - f).alias("d"), f.alias("f"))))["f"]
+    return F.greatest(F.floor(v) + near, F.element_at(steps, 2))
 
 
 # --- durations -----------------------------------------------------------------

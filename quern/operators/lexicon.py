@@ -16,9 +16,10 @@ MAX_WORDS = 6
 
 def grams(toks: Column, longest: int = MAX_WORDS) -> Column:
     """array<struct<pos, gram>> of all runs of 1..longest tokens."""
-    idx = lambda n: F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.concat(*[F.transform(idx(n), lambda p, n=n: F.struct(p.alias("pos"), F.array_join(F.slice(toks, p, n), " ").alias("gram")))
-                      for n in range(1, longest + 1)])
+    def of_length(n):
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda p: F.struct(p.alias("pos"), F.array_join(F.slice(toks, p, n), " ").alias("gram")))
+    return F.concat(*[of_length(n) for n in range(1, longest + 1)])
 
 
 def lexicon_words(c: Column) -> Column:
@@ -52,9 +53,10 @@ def annotate(lines: DataFrame, key: str, text: Column, lexicon: DataFrame, name:
     """Leftmost, then longest lexicon name in each distinct line: the key columns
     plus the payload of the winner; lines without a name are left out.
     ``text`` is the folded part of the line that may hold a name."""
-    lex = expand_plurals(lexicon, name)
+    lex = expand_plurals(lexicon, name).withColumn("_lex_name", F.col(name))
     n = longest_name(lexicon, name)
     toks = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    g = lines.select(key, F.inline(grams(toks, n)))
-    best = F.min_by(F.struct(*payload), F.struct("pos", -F.col("name_len"), F.col(name)))
-    return g.join(lex, g["gram"] == lex["form"]).groupBy(key).agg(best.alias("hit")).select(key, "hit.*")
+    g = lines.select(F.col(key).alias("_key"), F.inline(grams(toks, n)))
+    best = F.min_by(F.struct(*payload), F.struct("pos", -F.col("name_len"), "_lex_name"))
+    hits = g.join(lex, g["gram"] == lex["form"]).groupBy("_key").agg(best.alias("_hit"))
+    return hits.select(F.col("_key").alias(key), *[F.col(f"_hit.{c}").alias(c if c != key else f"{c}_found") for c in payload])

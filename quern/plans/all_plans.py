@@ -1,2 +1,2 @@
 """Importing this module registers every plan."""
-from quern.plans import library, selection  # noqa: F401
+from quern.plans import enrichment, library, selection  # noqa: F401
