@@ -103,7 +103,8 @@ def _with_density(lines: DataFrame, line: str, with_unit, table: DataFrame) -> D
     # distributive "each" has no single name
     part = F.when(~F.col("_after").rlike(r"(?i)^\s*(?:each|chacun|chacune)\b"), A.name_part(F.col("_after")))
     d = d.withColumn("_name", T.fold(F.coalesce(part, F.lit(""))))
-    names = d.filter("_name <> ''").select("_name").distinct()
+    # no filter on _name: pushed down, it would repeat the expressions above it
+    names = d.select("_name").distinct()
     hit = LX.annotate(names, "_name", F.col("_name"), table, "name", ["name", "grams_per_cup"])
     changed = F.col("_name").rlike(r"(?:^|[^a-z0-9])(?<!non[\s-])(?:cooked|cuite?s?|whipped|fouettee?s?|substitutes?|substitut|succedane)(?![a-z0-9])")
     hit = hit.withColumn("grams_per_cup", F.when(~(changed & ~F.col("name").rlike("cooked|whipped")), F.col("grams_per_cup")))

@@ -182,7 +182,7 @@ def _lined(lib):
 @plan("enr13_volume_to_mass", _DSQL + f"""
 SELECT coalesce(ingredient, '-') AS ingredient, round(sum(quantity * {_F} * g), 2) AS grams, count(*) FILTER ({_F} IS NOT NULL AND g IS NULL) AS kept FROM d GROUP BY 1""")
 def _(lib):
-    d = E.to_grams(_lined(lib), "line", E.densities(lib.spark, _DENS))
+    d = E.per_distinct(_lined(lib), "line", lambda k: E.to_grams(k, "line", E.densities(lib.spark, _DENS)))
     # weights name no ingredient of their own: give them their name's entry
     names = LX.annotate(lib.table("part").select("p_name").distinct(), "p_name", F.col("p_name"), E.densities(lib.spark, _DENS), "name", ["name"])
     d = d.drop("ingredient").join(names.select(F.col("p_name").alias("pn"), F.col("name").alias("ingredient")), F.col("name") == F.col("pn"), "left")
@@ -193,7 +193,7 @@ def _(lib):
 u AS (SELECT *, CASE WHEN cups >= 0.25 - 1e-9 THEN 'cup' WHEN cups * 16 >= 1 - 1e-9 THEN 'tbsp' WHEN cups IS NOT NULL THEN 'tsp' END AS kitchen_unit FROM v)
 SELECT recipe_id, n, round(cups, 6) AS cups, kitchen_unit, {_W} IS NOT NULL AND cups IS NULL AS kept FROM u""")
 def _(lib):
-    d = E.to_volume(_lined(lib), "line", E.densities(lib.spark, _DENS))
+    d = E.per_distinct(_lined(lib), "line", lambda k: E.to_volume(k, "line", E.densities(lib.spark, _DENS)))
     return d.select("recipe_id", "n", F.round("cups", 6).alias("cups"), "kitchen_unit", "kept")
 
 
