@@ -213,30 +213,32 @@ def provenance(prefixes: DataFrame, index: DataFrame, vocab: DataFrame, tag_colu
                     .when(F.col("x") == F.col("need"), "text").when(F.col("t") == F.col("need"), "tag").otherwise("tag,text").alias("via"))
 
 
-def excerpts(hits: DataFrame, docs: DataFrame, prefixes: DataFrame, columns: list[str], size: int = W.EXCERPT_TOKENS) -> DataFrame:
-    """(qid, doc_id, excerpt): the run of ``size`` words with most matches in the first
-    of ``columns`` that has one, matches marked; not where the title matches."""
-    starts = prefixes.groupBy("qid").agg(F.collect_set("prefix").alias("prefixes"))
-    d = hits.select("qid", "doc_id").join(starts, "qid").join(docs.select("doc_id", "title", *columns), "doc_id")
+def excerpts(prefixes: DataFrame, index: DataFrame, vocab: DataFrame, docs: DataFrame, columns: list[str],
+             size: int = W.EXCERPT_TOKENS) -> DataFrame:
+    """(qid, doc_id, excerpt) of documents matching all words: the run of ``size``
+    words with most matches in the first of ``columns`` that has one, matches
+    marked; none where the title matches. The index decides which column and which
+    terms, so only the texts shown are read, and each once."""
+    terms = by_prefix(prefixes, vocab, "prefix").select("qid", "n", "term").distinct()
+    hit = index.join(terms, "term")
+    need = prefixes.groupBy("qid").agg(F.count_distinct("n").alias("need"))
+    rank = F.create_map(*[F.lit(x) for i, c in enumerate(["title", *columns]) for x in (c, i)])
+    place = F.try_element_at(rank, F.col("col"))
+    chosen = (hit.groupBy("qid", "doc_id").agg(F.count_distinct("n").alias("k"), F.min(place).alias("best"))
+              .join(need, "qid").filter("k = need AND best > 0"))
+    words = (hit.withColumn("best", place).join(chosen, ["qid", "doc_id", "best"], "left_semi")
+             .groupBy("qid", "doc_id", "best").agg(F.collect_set("term").alias("terms")))
+    text = F.coalesce(*[F.when(F.col("best") == i + 1, F.col(c)) for i, c in enumerate(columns)])
+    d = words.join(docs.select("doc_id", *columns), "doc_id").select("qid", "doc_id", "terms", text.alias("text"))
     # folded words decide; the written ones are shown (folding keeps their number)
-    for c in ["title", *columns]:
-        d = d.withColumn(f"_f_{c}", T.tokens(F.col(c)))
-    is_hit = lambda w: F.exists("prefixes", lambda p: w.startswith(p))
-    d = d.withColumn("_in_title", F.exists("_f_title", is_hit))
-    for c in columns:   # places of the matches
-        d = d.withColumn(f"_at_{c}", F.filter(F.transform(f"_f_{c}", lambda w, i: F.when(is_hit(w), i)), lambda x: x.isNotNull()))
-    first = F.coalesce(*[F.when(F.size(f"_at_{c}") > 0, F.lit(c)) for c in columns])
-    d = d.withColumn("_col", F.when(~F.col("_in_title"), first))
-    choose = lambda pre: F.coalesce(*[F.when(F.col("_col") == c, F.col(pre + c)) for c in columns])
-    d = d.withColumns({"at": choose("_at_"), "folded": choose("_f_")})
-    d = d.withColumn("written", F.regexp_extract_all(F.coalesce(*[F.when(F.col("_col") == c, F.col(c)) for c in columns]),
-                                                     F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
+    d = d.withColumns({"folded": T.tokens(F.col("text")), "written": F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))})
+    d = d.withColumn("at", F.array_compact(F.transform("folded", lambda w, i: F.when(F.array_contains("terms", w), i))))
     # a run starts at a match; the next few matches tell how many it holds
     best = F.array_max(F.transform("at", lambda p, j: F.struct(
         F.size(F.filter(F.slice("at", j + 1, F.lit(size)), lambda q: q < p + size)).alias("hits"), (-p).alias("at"))))
     d = d.withColumn("start", -best["at"])
-    show_from = F.when(F.size("written") == F.size("folded"), F.col("written")).otherwise(F.col("folded"))
-    d = d.withColumn("run", F.slice(show_from, F.col("start") + 1, F.lit(size)))
+    shown = F.when(F.size("written") == F.size("folded"), F.col("written")).otherwise(F.col("folded"))
+    d = d.withColumn("run", F.slice(shown, F.col("start") + 1, F.lit(size)))
     show = F.transform("run", lambda w, i: F.when(F.array_contains("at", F.col("start") + i), F.concat(
         F.lit(W.MARK_START), w, F.lit(W.MARK_END))).otherwise(w))
-    return d.select("qid", "doc_id", F.array_join(show, " ").alias("excerpt")).filter("excerpt IS NOT NULL")
+    return d.select("qid", "doc_id", F.array_join(show, " ").alias("excerpt"))

@@ -153,8 +153,7 @@ def _(lib):
     ix = stored_index(lib)
     vocab = S.vocabulary_of(ix)
     w = S.parse(queries(lib)).filter("NOT leave_out").withColumn("prefix", F.col("word"))
-    hits = S.provenance(w, ix, vocab, ["tags_text"]).select("qid", "doc_id")
-    return S.excerpts(hits, docs(lib), w, ["content_text"])
+    return S.excerpts(w, ix, vocab, docs(lib), ["content_text"])
 
 
 @plan("sch9_corrections_report")
