@@ -1,7 +1,7 @@
 """Texts to records: title, ingredients, steps, servings, lines left out.
 
-A text is at most 4,000 lines of 2,000 characters, held in one row, so its lines
-are worked on as an array inside the row: no shuffle, whatever the corpus size.
+A text is one cell of a row, so its lines are worked on as an array inside the
+row: no shuffle, whatever the corpus size.
 """
 from __future__ import annotations
 
@@ -25,8 +25,9 @@ def clean_line(l: Column) -> Column:
 
 
 def prepared(c: Column) -> Column:
-    """Cleaned, non-blank lines of a text."""
-    return F.filter(F.transform(F.split(T.bounded_text(F.coalesce(c, F.lit(""))), "\n"), clean_line), lambda l: l != "")
+    """Cleaned, non-blank lines of a whole text (functions.text.bounded_text, when
+    its limits are wanted, goes before)."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), clean_line), lambda l: l != "")
 
 
 def first_word(l: Column) -> Column:

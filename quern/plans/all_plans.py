@@ -1,2 +1,2 @@
 """Importing this module registers every plan."""
-from quern.plans import enrichment, library, searching, selection  # noqa: F401
+from quern.plans import enrichment, learning, library, searching, selection, texts  # noqa: F401
