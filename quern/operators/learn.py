@@ -96,6 +96,7 @@ def line_features(lines: DataFrame) -> DataFrame:
                        "pshape": F.lag("shape").over(w), "nshape": F.lead("shape").over(w),
                        "seen_ing": F.coalesce(F.max(F.array_contains("shape", "is:heading_ingredients")).over(before), F.lit(False)),
                        "seen_steps": F.coalesce(F.max(F.array_contains("shape", "is:heading_steps")).over(before), F.lit(False))})
+    d = d.withColumn("folded", F.concat(F.lit(" "), F.substring(T.fold(F.col("line")), 1, 60), F.lit(" ")))
     d = d.withColumn("scale", 1 / F.sqrt(F.greatest(F.size("ws"), F.lit(1)).cast("double")))
     one = lambda name, v=1.0: F.struct(name.alias("name"), (F.lit(v) if isinstance(v, float) else v).cast("double").alias("value"))
     num = lambda x: F.when(x.rlike(r"^\d+$"), "#").otherwise(x)
@@ -103,7 +104,7 @@ def line_features(lines: DataFrame) -> DataFrame:
     s = F.col("scale")
     words = F.transform("ws", lambda x: one(cat("w:", num(x)), s))
     pairs = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda j: one(cat("b:", F.element_at("ws", j), "_", F.element_at("ws", j + 1)), s)))
-    folded = F.concat(F.lit(" "), F.substring(T.fold(F.col("line")), 1, 60), F.lit(" "))
+    folded = F.col("folded")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - 2, F.lit(1))), lambda j: one(cat("c:", F.substring(folded, j, F.lit(3))), s * 0.3))
     flags = F.array_compact(F.array(
         one(cat("pos:", F.least(F.floor(10 * F.col("rn") / F.col("cnt")), F.lit(9)).cast("string"))), F.when(F.col("rn") == 0, one(F.lit("pos:first"))),
@@ -127,8 +128,11 @@ def _prefixer(p: str):
 def record_features(docs: DataFrame, fields: dict[str, tuple[str, float]]) -> DataFrame:
     """(doc_id, name, value): words and pairs per field (prefix, weight), log-scaled,
     each document's values of length 3."""
+    # words as columns of their own: inside a lambda the expression would run per word
+    docs = docs.select("doc_id", *[T.tokens(F.col(c)).alias(f"_t_{c}") for c in fields])
+
     def of(c, prefix, weight):
-        t = T.tokens(F.col(c))
+        t = F.col(f"_t_{c}")
         good = lambda x: ~x.rlike(r"^\d+$")
         ws = F.transform(F.filter(t, lambda x: (F.length(x) > 1) & good(x)), lambda x: F.struct(F.concat(F.lit(prefix), x).alias("name"), F.lit(weight).alias("v")))
         two = F.when(F.size(t) > 1, F.filter(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda j: F.when(
