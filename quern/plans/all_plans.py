@@ -1,2 +1,2 @@
 """Importing this module registers every plan."""
-from quern.plans import enrichment, learning, library, searching, selection, streams, texts  # noqa: F401
+from quern.plans import enrichment, exchange, learning, library, searching, selection, streams, texts  # noqa: F401
