@@ -5,13 +5,14 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from quern.functions import amounts as A, text as T, words as W
 
 TIME_FIELDS = ["prep_time", "cook_time", "total_time"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of unequal texts (Ratcliff and Obershelp 1988)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])

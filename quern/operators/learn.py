@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions import patterns as P, text as T, words as W
@@ -154,8 +155,9 @@ def hashed(cells: DataFrame, keys: list[str], dim: int = W.HASH_COLUMNS) -> Data
 
 
 @F.pandas_udf(VectorUDT())
-def _sparse(cols: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([SparseVector(W.HASH_COLUMNS, dict(zip(map(int, c), map(float, v)))) for c, v in zip(cols, values)])
+def _sparse(cols: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """The stored form of a sparse vector, straight from the Arrow batch."""
+    return pd.DataFrame({"type": np.zeros(len(cols), dtype=np.int8), "size": np.full(len(cols), W.HASH_COLUMNS, dtype=np.int32), "indices": cols, "values": values})
 
 
 def vectors(cells: DataFrame, keys: list[str]) -> DataFrame:
