@@ -24,7 +24,8 @@ _FROM, _TO = _accent_map()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, _FROM, _TO), "\\p{M}+", "")
+    # plain ASCII, most of an English corpus, skips the letter-by-letter map
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(c, _FROM, _TO), "\\p{M}+", "")).otherwise(c)
 
 
 def fold(c: Column) -> Column:

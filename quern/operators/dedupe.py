@@ -69,7 +69,8 @@ def groups(k: DataFrame, max_rounds: int = 60) -> DataFrame:
     member = cut_lineage(salted_lookup(member, shared, ["key"]))
     labels = member.select("node").distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
-        at_key = salted_lookup(member, labels, ["node"]).groupBy("key").agg(F.min("label").alias("key_label"))
+        # a node has at most two keys: no skew on this side
+        at_key = member.join(labels, "node").groupBy("key").agg(F.min("label").alias("key_label"))
         moved = (salted_lookup(member, at_key, ["key"]).groupBy("node").agg(F.min("key_label").alias("near")))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         nxt = (salted_lookup(moved, jump, ["near"], "left")

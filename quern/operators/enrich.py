@@ -86,8 +86,12 @@ def record_masks(lines: DataFrame, rec: str, line: str, calendar: DataFrame, pre
     return masked.groupBy(rec).agg(F.bit_or(F.coalesce("mask", F.lit(0))).alias("mask"))
 
 
+def season_records(masks: DataFrame, rec: str, month: int) -> DataFrame:
+    return masks.filter(F.getbit("mask", F.lit(month - 1)) == 1).select(rec)
+
+
 def in_season(records: DataFrame, masks: DataFrame, rec: str, month: int, keep: bool = True) -> DataFrame:
-    hit = masks.filter(F.getbit("mask", F.lit(month - 1)) == 1).select(F.col(rec).alias("_rec"))
+    hit = season_records(masks, rec, month).withColumnRenamed(rec, "_rec")
     return records.join(hit, records["id"] == hit["_rec"], "left_semi" if keep else "left_anti")
 
 

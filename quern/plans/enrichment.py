@@ -118,9 +118,16 @@ def _(lib):
 SELECT 'in' AS side, id FROM v_live JOIN r ON recipe_id = id WHERE (mask >> 5) & 1 = 1
 UNION ALL SELECT 'out', id FROM v_live WHERE id NOT IN (SELECT recipe_id FROM r WHERE (mask >> 5) & 1 = 1)""")
 def _(lib):
-    masks, live = _masks(lib), lib.live().select("id")
-    part = lambda keep, name: E.in_season(live, masks, "recipe_id", 6, keep).select(F.lit(name).alias("side"), "id")
-    return part(True, "in").unionAll(part(False, "out"))
+    # both sides in one pass: the masks are worked out once
+    live, masks = lib.live().select("id"), _masks(lib)
+    hit = E.season_records(masks, "recipe_id", 6).withColumn("side", F.lit("in"))
+    return live.join(hit, live["id"] == hit["recipe_id"], "left").select(F.coalesce("side", F.lit("out")).alias("side"), "id")
+
+
+@plan("flt8_out_of_season", _SEASON + """, r AS (SELECT recipe_id, bit_or(mask) AS mask FROM v_item JOIN m USING (name) GROUP BY recipe_id)
+SELECT id FROM v_live WHERE id NOT IN (SELECT recipe_id FROM r WHERE (mask >> 2) & 1 = 1)""")
+def _(lib):
+    return E.in_season(lib.live().select("id"), _masks(lib), "recipe_id", 3, keep=False)
 
 
 @plan("agg9_vocabulary", r"""

@@ -44,6 +44,13 @@ def stored_index(lib):
     return cut_lineage(index(lib))
 
 
+def terms(lib):
+    """The vocabulary straight from the texts: each document's words once, no
+    distinct count."""
+    words = F.array_distinct(F.flatten(F.array(*[T.tokens(F.col(c)) for c in COLUMNS])))
+    return S.vocabulary(docs(lib).select("doc_id", F.explode(words).alias("term")))
+
+
 def queries(lib):
     t = F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
     return lib.table("benchmark").select(F.col("item_id").alias("qid"), t.alias("t")).select("qid", F.concat(
@@ -115,12 +122,12 @@ SELECT word, term, docs, CAST(levenshtein(replace(word, 'ß', '~'), replace(term
 def _(lib):
     w = lib.table("benchmark").select(F.explode(T.tokens(F.col("text"))).alias("w")).filter("length(w) >= 5").distinct()
     w = w.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word")).distinct()
-    return S.fuzzy(w, S.vocabulary_of(index(lib)), "levenshtein").withColumn("d", F.col("d").cast("bigint"))
+    return S.fuzzy(w, terms(lib), "levenshtein").withColumn("d", F.col("d").cast("bigint"))
 
 
 @plan("sch5_corrections")
 def _(lib):
-    return S.corrections(typo_words(lib), cut_lineage(S.vocabulary_of(index(lib))))
+    return S.corrections(typo_words(lib), cut_lineage(terms(lib)))
 
 
 @plan("sch5_typo_tolerant_search")
@@ -134,7 +141,7 @@ WITH w AS (SELECT DISTINCT substring(term, 1, 3) AS word FROM (SELECT unnest(reg
 SELECT word, arg_min(term, {{'a': -docs, 'b': term}}) AS shown FROM w JOIN v_term ON starts_with(term, word) GROUP BY word""")
 def _(lib):
     w = lib.table("benchmark").select(F.explode(T.tokens(F.col("text"))).alias("t")).select(F.substring("t", 1, 3).alias("word")).distinct()
-    return S.commonest(w, S.vocabulary_of(index(lib)), "word")
+    return S.commonest(w, terms(lib), "word")
 
 
 @plan("sch7_whole_word_exclusion", _MATCH + "SELECT qid, doc_id FROM gone")
@@ -159,7 +166,7 @@ def _(lib):
 @plan("sch9_corrections_report")
 def _(lib):
     words = typo_words(lib).select(F.crc32("word").alias("qid"), F.lit(0).cast("bigint").alias("n"), F.col("word").alias("typed"), "word")
-    _, corrected = S.expand(words, cut_lineage(S.vocabulary_of(index(lib))))
+    _, corrected = S.expand(words, cut_lineage(terms(lib)))
     return S.corrected_report(corrected).select("qid", F.to_json("corrected").alias("corrected"))
 
 

@@ -164,7 +164,10 @@ def cooldown_digest(results: DataFrame, key: str, seconds: int) -> DataFrame:
 def debounce_stream(changes: DataFrame, ts: str, gap: str = "120 seconds", watermark: str = "10 minutes", key: str | None = None) -> DataFrame:
     """One row per closed burst of changes."""
     s = changes.withWatermark(ts, watermark)
-    return s.groupBy(F.session_window(ts, gap).alias("w"), *([key] if key else [])).agg(F.count(F.lit(1)).alias("n"))
+    # session windows need a key that is no constant; an empty text made of the time is
+    # the same for all, and watermarked bursts keep its state to one open session
+    k = F.col(key) if key else F.substring(F.col(ts).cast("string"), 1, 0).alias("key")
+    return s.groupBy(F.session_window(ts, gap).alias("w"), k).agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
