@@ -194,14 +194,14 @@ def _(lib):
 
 
 def _sorted(lib, sort, direction):
-    return lib.live().orderBy(*S.sort_keys(sort, direction)).limit(50).select("id", "title")
+    return lib.live().orderBy(*S.sort_keys(sort, direction)).select("id", "title")
 
 
 for _sort, _dir, _sql in [
         ("created", "desc", "created_at DESC"), ("title", "asc", "lower(title)"), ("rating", "desc", "tastiness_rating DESC NULLS LAST"),
         ("cook_time", "asc", "nullif(actual_cook_time_minutes, 0) ASC NULLS LAST"),
         ("difficulty", "desc", "CASE difficulty_rating WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 WHEN 'hard' THEN 3 END DESC NULLS LAST")]:
-    plan(f"srt1_sort_{_sort}", f"SELECT id, title FROM v_live ORDER BY {_sql}, id LIMIT 50")(
+    plan(f"srt1_sort_{_sort}", f"SELECT id, title FROM v_live ORDER BY {_sql}, id")(
         lambda lib, s=_sort, d=_dir: _sorted(lib, s, d))
 
 

@@ -154,28 +154,31 @@ def _(lib):
 
 
 def as_recipes(lib):
-    """Documents dressed as recipes: headings and measured lines around their text."""
-    t, k = F.col("text"), F.col("doc_id")
+    """Every document dressed as a recipe: headings and measured lines around its text."""
+    t, k = F.col("text"), F.col("doc_id") % 3
     ing = F.lit("Ingredients\n2 cups flour\n1 tbsp sugar\nSalt to taste\n")
-    return lib.documents().select("doc_id", F.when(k % 4 == 0, F.concat(F.lit("Serves 4\n"), ing, F.lit("Instructions\n"), t))
-                                  .when(k % 4 == 1, F.concat(F.lit("A Plain Name\nMakes 6 rolls\n"), ing, F.lit("1. Mix everything.\n2. Bake.\n")))
-                                  .when(k % 4 == 2, F.concat(F.lit("A Plain Name\nold note\n2 cups flour\n1 tbsp sugar\nMix everything together well.\n"), F.translate(t, "\n", " "))).otherwise(t).alias("text"))
+    return lib.documents().select("doc_id", F.when(k == 0, F.concat(F.lit("A Plain Name\nServes 4\n"), ing, F.lit("Instructions\n"), t))
+                                  .when(k == 1, F.concat(F.lit("A Plain Name\nMakes 6 rolls\n"), ing, F.lit("1. Mix everything.\n2. Bake.\nNotes\n"), t))
+                                  .otherwise(F.concat(F.lit("A Plain Name\nold note\n2 cups flour\n1 tbsp sugar\nMix everything together well.\n"), F.translate(t, "\n", " "))).alias("text"))
 
 
-@plan("seg3_routes", "SELECT doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN 'both headings' WHEN 1 THEN 'numbered steps' ELSE 'no headings' END AS route, count(*) AS n FROM documents WHERE doc_id % 4 < 3 GROUP BY ALL")
+_ROUTE = "CASE doc_id % 3 WHEN 0 THEN 'both headings' WHEN 1 THEN 'numbered steps' ELSE 'no headings' END"
+
+
+@plan("seg3_routes", f"SELECT {_ROUTE} AS route, count(*) AS n FROM documents GROUP BY 1")
 def _(lib):
-    r = G.segment(as_recipes(lib)).select((F.col("doc_id") % 4).alias("k"), "route")
-    return r.groupBy("k", "route").agg(F.count(F.lit(1)).alias("n")).filter("k < 3")
+    return G.segment(as_recipes(lib)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("seg4_ingredients", "SELECT doc_id, '2 cups flour|1 tbsp sugar|Salt to taste' AS ingredients FROM documents WHERE doc_id % 4 < 2 ")
+@plan("seg4_ingredients", "SELECT doc_id, '2 cups flour|1 tbsp sugar' || CASE WHEN doc_id % 3 < 2 THEN '|Salt to taste' ELSE '' END AS ingredients FROM documents")
 def _(lib):
-    return G.segment(as_recipes(lib).filter("doc_id % 4 < 2")).select("doc_id", F.array_join("ingredients", "|").alias("ingredients"))
+    return G.segment(as_recipes(lib)).select("doc_id", F.array_join("ingredients", "|").alias("ingredients"))
 
 
-@plan("seg5_steps", "SELECT doc_id, 'Mix everything.|Bake.' AS steps FROM documents WHERE doc_id % 4 = 1")
+@plan("seg5_steps", "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'Mix everything.|Bake.' WHEN 2 THEN 'Mix everything together well.' END AS steps FROM documents")
 def _(lib):
-    return G.segment(as_recipes(lib).filter("doc_id % 4 = 1")).select("doc_id", F.array_join("steps", "|").alias("steps"))
+    s = F.col("steps")
+    return G.segment(as_recipes(lib)).select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.array_join(s, "|")).when(F.col("doc_id") % 3 == 2, F.get(s, F.lit(0))).alias("steps"))
 
 
 @plan("seg6_component_records")
@@ -185,20 +188,20 @@ def _(lib):
     return G.segment(lib.documents().select("doc_id", parts.alias("text"))).select("doc_id", "route", F.array_join("ingredients", "|").alias("ingredients"), F.size("steps").alias("n_steps"))
 
 
-@plan("seg7_titles", "SELECT doc_id, 'A Plain Name' AS title FROM documents WHERE doc_id % 4 = 1")
+@plan("seg7_titles", "SELECT doc_id, 'A Plain Name' AS title FROM documents")
 def _(lib):
-    return G.segment(as_recipes(lib).filter("doc_id % 4 = 1")).select("doc_id", "title")
+    return G.segment(as_recipes(lib)).select("doc_id", "title")
 
 
-@plan("seg8_servings", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '4' WHEN 1 THEN '6 rolls' END AS servings FROM documents")
+@plan("seg8_servings", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '4' WHEN 1 THEN '6 rolls' END AS servings FROM documents")
 def _(lib):
     first = F.slice(G.prepared(F.col("text")), 1, 12)
     return as_recipes(lib).select("doc_id", F.get(F.array_compact(F.transform(first, G.yield_text)), F.lit(0)).alias("servings"))
 
 
-@plan("seg9_left_out", "SELECT doc_id, 'old note' AS left_out FROM documents WHERE doc_id % 4 = 2")
+@plan("seg9_left_out", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'old note' ELSE '' END AS left_out FROM documents")
 def _(lib):
-    return G.segment(as_recipes(lib).filter("doc_id % 4 = 2")).select("doc_id", F.array_join("left_out", "|").alias("left_out"))
+    return G.segment(as_recipes(lib)).select("doc_id", F.array_join("left_out", "|").alias("left_out"))
 
 
 @plan("seg10_message_source", """
@@ -214,11 +217,11 @@ def _(lib):
     return G.best_source(cand.select("msg_id", "priority", "kind", "doc_id").join(seg, "doc_id")).select("msg_id", "found", "kind", "reasons")
 
 
-@plan("udf1_pluggable_segmenter", "SELECT CASE WHEN doc_id % 4 = 1 AND doc_id % 8 = 1 THEN 'learned' ELSE 'numbered steps' END AS route, count(*) AS n FROM documents WHERE doc_id % 4 = 1 GROUP BY 1")
+@plan("udf1_pluggable_segmenter", f"SELECT CASE WHEN doc_id % 2 = 1 THEN 'learned' ELSE {_ROUTE} END AS route, count(*) AS n FROM documents GROUP BY 1")
 def _(lib):
-    def learned(docs, rules):
-        return rules.filter("doc_id % 8 = 1").select("doc_id", F.upper("title").alias("title"), "ingredients", "steps")
-    return G.segment(as_recipes(lib).filter("doc_id % 4 = 1"), learned).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    def learned(docs, rules):      # a model that has an answer for some texts
+        return rules.filter("doc_id % 2 = 1").select("doc_id", F.upper("title").alias("title"), "ingredients", "steps")
+    return G.segment(as_recipes(lib), learned).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("src21_log_records", r"""
@@ -242,9 +245,8 @@ def _(lib):
 
 
 @plan("src24_plain_from_markdown", r"""
-SELECT doc_id, md5('Title' || chr(10) || trim(array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(l)), chr(10)), chr(10) || ' ' || chr(9)) || chr(10) || 'see link') AS text_md5 FROM documents
-WHERE NOT regexp_matches(text, '[*_#>`~\[-]')""")
+SELECT doc_id, md5('Title' || chr(10) || trim(array_to_string(list_transform(string_split(translate(text, '*_#>`~[-', ''), chr(10)), lambda l: trim(l)), chr(10)), chr(10) || ' ' || chr(9)) || chr(10) || 'see link') AS text_md5 FROM documents""")
 def _(lib):
-    d = lib.documents().filter(~F.col("text").rlike(r"[*_#>`~\[-]"))
-    md = F.concat(F.lit("# Title #\n---\n"), T.markdown_to_text(F.col("text")), F.lit("\n> **see** [link](http://x.example/)\n```"))
-    return d.select("doc_id", F.md5(T.markdown_to_text(md)).alias("text_md5"))
+    words = T.markdown_to_text(F.translate("text", "*_#>`~[-", ""))
+    md = F.concat(F.lit("# Title #\n---\n"), words, F.lit("\n> **see** [link](http://x.example/)\n```"))
+    return lib.documents().select("doc_id", F.md5(T.markdown_to_text(md)).alias("text_md5"))
