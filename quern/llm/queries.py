@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
-from quern.llm import q_content_sort
+from quern.llm import q_content_sort, q_warc
 
-_MODULES = [q_content_sort]
+_MODULES = [q_content_sort, q_warc]
 
 
 def queries():
