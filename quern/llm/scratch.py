@@ -46,14 +46,23 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of a lookup table that go to every executor: some tens of MB at most.
+FEW_ROWS = 100_000
+
+
 def hot_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
-    """Left join of ``rows`` to ``table``, which has one row per ``key`` and, in
-    ``weight``, how many of the rows hold it. A key with over a ``most``-th of all
-    rows is hot: there are fewer than ``most`` such keys, so these are broadcast
-    and their rows stay where they are. All other rows meet by a shuffle in which
-    no key is large. Both inputs are read twice and should be settled."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) > total / most
+    """Left join of ``rows`` to ``table``, a settled table of small rows, with one row
+    per ``key`` and, in ``weight``, how many of the rows hold it.
+
+    A table of up to FEW_ROWS rows (counted here) is broadcast. Beyond that, a key
+    with over a ``most``-th of these rows is hot: there are fewer than ``most``
+    such keys, so only these are broadcast and their rows stay where they are; all
+    other rows meet by a shuffle in which no key is large.
+    """
+    counted = table.agg(F.sum(weight).alias("w"), F.count("*").alias("n")).first()
+    if counted["n"] <= FEW_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    hot = F.col(weight) > (counted["w"] or 0) / most
     few = F.broadcast(table.filter(hot))
     is_hot = rows.join(few.select(key), key, "left_semi").join(few, key, "left")
     rest = rows.join(few.select(key), key, "left_anti").join(table.filter(~hot), key, "left")

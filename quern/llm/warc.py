@@ -161,25 +161,43 @@ _PARTS = "origin string, copy string, number int, total long, kind string, page
 _PAGES = "page string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers string"
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
-    names = [x.split(" ")[0] for x in _PARTS.split(", ")]
-    for batch in batches:
-        for content in batch.column("content"):
-            rows = []
-            for f, block in parsed(gzip.decompress(content.as_py())):
-                kind = f["WARC-Type"]
-                number = lambda k: int(f[k]) if k in f else None
-                rows.append((f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), f["X-Copy"], number("WARC-Segment-Number") or 1,
-                             number("WARC-Segment-Total-Length"), kind, f["X-Page-Id"], f["WARC-Target-URI"],
-                             f["WARC-Payload-Digest"].removeprefix("sha1:"), f.get("X-Refers-To-Page"), number("X-Payload-Length"), block))
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split(" ")[0] for x in _PAGES.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def page_of(origin: str, block: bytes, f: dict) -> tuple:
+    """A page's row from its whole block; f: page, url, digest, refers, length, kind."""
+    if f["kind"] == "revisit":
+        return f["page"], f["url"], None, f["length"], f["digest"], "revisit", f["refers"]
+    payload = unchunked(block[block.index(b"\r\n\r\n") + 4:])
+    if base32_sha1(payload) != f["digest"]:
+        raise BrokenArchive(f"wrong digest in {origin}")
+    return f["page"], f["url"], payload, len(payload), f["digest"], "response", None
+
+
+def _read_files(segmented: bool):
+    """Reads archives: whole records to pages, or else segments, which other records go on with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = []
+                for f, block in parsed(gzip.decompress(content.as_py())):
+                    if ("WARC-Segment-Number" in f) != segmented:
+                        continue
+                    number = lambda k: int(f[k]) if k in f else None
+                    told = {"kind": f["WARC-Type"], "page": f["X-Page-Id"], "url": f["WARC-Target-URI"],
+                            "digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "refers": f.get("X-Refers-To-Page"), "length": number("X-Payload-Length")}
+                    origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
+                    rows.append((origin, f["X-Copy"], number("WARC-Segment-Number"), number("WARC-Segment-Total-Length"), *told.values(), block)
+                                if segmented else page_of(origin, block, told))
+                yield _table(rows, _PARTS if segmented else _PAGES)
+    return run
+
+
+def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
@@ -187,28 +205,22 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if [s["number"] for s in segments] != list(range(1, len(segments) + 1)):
                 raise BrokenArchive(f"segments missing or twice in {r['origin']}")
             block = b"".join(s["block"] for s in segments)
-            if r["total"] is not None and r["total"] != len(block) or r["total"] is None and len(segments) > 1:
+            if r["total"] != len(block):
                 raise BrokenArchive(f"wrong total length in {r['origin']}")
-            if r["revisit"]:
-                rows.append((r["page"], r["url"], None, r["length"], r["digest"], "revisit", r["refers"]))
-                continue
-            payload = unchunked(block[block.index(b"\r\n\r\n") + 4:])
-            if base32_sha1(payload) != r["digest"]:
-                raise BrokenArchive(f"wrong digest in {r['origin']}")
-            rows.append((r["page"], r["url"], payload, len(payload), r["digest"], "response", None))
-        if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.append(page_of(r["origin"], block, r))
+        yield _table(rows, _PAGES)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)
-    of the archives below ``path``; payload is null for revisits. Raises
-    BrokenArchive where segments are missing or lengths, framing or digest disagree."""
+    of the archives below ``path``; payload is null for revisits. Only segmented
+    records are shuffled, a page's segments to one row. Raises BrokenArchive where
+    segments are missing or lengths, framing or digest disagree."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parts = files.mapInArrow(_read_files, _PARTS)
-    whole = parts.groupBy("origin", "copy").agg(
+    whole = files.mapInArrow(_read_files(False), _PAGES)
+    grouped = files.mapInArrow(_read_files(True), _PARTS).groupBy("origin", "copy").agg(
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"), F.max("total").alias("total"),
-        F.max(F.col("kind") == "revisit").alias("revisit"), *(F.max(c).alias(c) for c in ("page", "url", "digest", "refers", "length")))
+        F.lit("response").alias("kind"), *(F.max(c).alias(c) for c in ("page", "url", "digest", "refers", "length")))
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(id_type)
-    return whole.mapInArrow(_decode, _PAGES).select(
+    return whole.unionByName(grouped.mapInArrow(_join_segments, _PAGES)).select(
         number("page").alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"))
