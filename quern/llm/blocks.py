@@ -88,29 +88,26 @@ def asked_batch(block: int, buckets: list[int], asked: list[bytes]) -> pa.Record
                            names=["block", "bucket", "asked"])
 
 
-def answered(blocks: DataFrame, ask: Callable[[dict, int], tuple[list[int], list[bytes]]],
-             answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """``blocks`` with ``answers``: array of (bucket, answer).
+def replies(blocks: DataFrame, ask: Callable[[dict], tuple[list[int], list[bytes]]], answer: Callable[[list[bytes]], list[bytes]],
+            name: str) -> DataFrame:
+    """(block, ``name``: array of (bucket, answer)) for a block table.
 
-    ``ask(row, buckets)`` gives bucket numbers and packed keys of a block's row; each
-    key always falls to the same bucket. ``answer`` gets what all blocks asked a bucket
-    and gives an answer to each.
+    ``ask(row)`` gives bucket numbers and packed keys of a block's row; a key always
+    falls to the same bucket. ``answer`` gets what all blocks asked one bucket and gives
+    an answer to each.
     """
-    buckets = 2 * shuffle_partitions(blocks)
-
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
-                yield asked_batch(row["block"].as_py(), *ask(row, buckets))
+                yield asked_batch(row["block"].as_py(), *ask(row))
 
     def answering(table: pa.Table) -> pa.Table:
         made = answer(table.column("asked").to_pylist())
         return pa.table([table.column("block"), table.column("bucket"), pa.array(made, pa.binary())], names=["block", "bucket", "answer"])
 
-    replies = blocks.mapInArrow(asking, ASKED).groupBy("bucket").applyInArrow(answering, ANSWERED)
-    by_block = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    return blocks.join(by_block, "block", "left")
+    told = blocks.mapInArrow(asking, ASKED).groupBy("bucket").applyInArrow(answering, ANSWERED)
+    return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
 
 def answers_of(row_answers: pa.Scalar) -> dict[int, bytes]:

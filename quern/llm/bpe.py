@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.blocks import Stored, answered, answers_of, gathered, pack_bytes, packed, shuffle_partitions, unpack_bytes
+from quern.llm.blocks import Stored, answers_of, gathered, pack_bytes, packed, replies, shuffle_partitions, unpack_bytes
 
 
 @lru_cache(4)
@@ -126,11 +126,13 @@ def _numbered(splitter: Splitter):
     return make
 
 
-def _ask(row: dict, buckets: int) -> tuple[list[int], list[bytes]]:
-    asked: dict[int, list[bytes]] = {}
-    for w in unpack_bytes(row["words"].as_py()):
-        asked.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return list(asked), [pack_bytes(ws) for ws in asked.values()]
+def _ask(buckets: int):
+    def run(row: dict) -> tuple[list[int], list[bytes]]:
+        asked: dict[int, list[bytes]] = {}
+        for w in unpack_bytes(row["words"].as_py()):
+            asked.setdefault(zlib.crc32(w) % buckets, []).append(w)
+        return list(asked), [pack_bytes(ws) for ws in asked.values()]
+    return run
 
 
 def _answer(path: str):
@@ -177,7 +179,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                                           names=["id", "n_tokens", "ids"])
 
     buckets = 2 * shuffle_partitions(docs)
-    return answered(stored.table, _ask, _answer(path)).select("ids", "counts", "places", "words", "answers").mapInArrow(
+    told = replies(stored.table, _ask(buckets), _answer(path), "answers")
+    return stored.table.join(told, "block", "left").select("ids", "counts", "places", "words", "answers").mapInArrow(
         finish, f"id {kind}, n_tokens bigint, ids binary")
 
 

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
-from quern.llm import q_bpe, q_content_sort, q_media, q_toxicity, q_warc
+from quern.llm import q_bpe, q_content_sort, q_media, q_repeats, q_toxicity, q_warc
 
-_MODULES = [q_bpe, q_content_sort, q_media, q_toxicity, q_warc]
+_MODULES = [q_bpe, q_content_sort, q_media, q_repeats, q_toxicity, q_warc]
 
 
 def queries():
