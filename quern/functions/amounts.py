@@ -32,7 +32,7 @@ def canonical_unit(u: Column) -> Column:
 def with_parsed(df: DataFrame, raw: str) -> DataFrame:
     """Adds quantity, unit and name of an ingredient line, in stages so that
     each regular expression runs once per row."""
-    line = F.trim(F.ltrim(F.trim(F.substring(raw, 1, W.TEXT_MAX_LINE)), F.lit("-*•")))
+    line = F.trim(F.ltrim(F.trim(F.col(raw) if isinstance(raw, str) else raw), F.lit("-*•")))
     d = df.withColumn("_line", line)
     d = d.withColumn("_g", F.when(F.col("_line") != "", groups(F.col("_line"), _LINE, 4)))
     g = lambda i: F.trim(F.get("_g", F.lit(i)))

@@ -1,6 +1,8 @@
 """Text keys and small column builders: all native expressions, no UDFs."""
 from __future__ import annotations
 
+import html.entities
+
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -129,7 +131,7 @@ def file_stem(title: Column, rid: Column) -> Column:
     return F.concat(rid.cast("string"), F.lit("-"), F.coalesce(F.nullif(s, F.lit("")), F.lit("recipe")))
 
 
-_ADDRESS = r"(?i)(https?)://(?:[^\s/?#'\"<>)]*@)?([^\s/?#:'\"<>)@]+)(:[0-9]+)?(/[^\s?#'\"<>)]{0,199})?[^\s?#'\"<>)]*(?:[?#][^\s'\"<>)]*)"
+_ADDRESS = r"(?i)(https?)://(?:[^\s/?#'\"<>)]*@)?([^\s/?#:'\"<>)@]+)(:[0-9]+)?(/[^\s?#'\"<>)]*)?(?:[?#][^\s'\"<>)]*)"
 _ADDRESS_PLAIN = r"(?i)(https?)://(?:[^\s/?#'\"<>)]*@)([^\s/?#:'\"<>)@]+)"
 
 
@@ -148,7 +150,7 @@ def strip_footer(c: Column) -> Column:
 
 def links_in(c: Column) -> Column:
     """Distinct addresses of a text in order, trailing punctuation off."""
-    found = F.filter(F.regexp_extract_all(c, F.lit(W.URL_IN_TEXT), F.lit(0)), lambda u: F.length(u) <= W.MAX_URL_CHARS)
+    found = F.regexp_extract_all(c, F.lit(W.URL_IN_TEXT), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(".,;:!?"))))
 
 
@@ -195,14 +197,29 @@ def allowed_edits(c: Column) -> Column:
     return F.when(F.length(c) < 4, 0).when(F.length(c) < 8, 1).otherwise(2)
 
 
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: Names of HTML's characters, from the language's own table; a no-break space is a blank here.
+_NAMED = {n: chr(p) for n, p in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(entity: Column) -> Column:
+    """The character of one entity; unknown ones stay as they are."""
+    body = F.substring(entity, F.lit(2), F.length(entity) - 2)
+    is_hex = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.when(is_hex, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
+    point = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    named = F.try_element_at(F.map_from_arrays(F.lit(list(_NAMED)), F.lit(list(_NAMED.values()))), body)
+    return F.coalesce(F.when(body.startswith("#"), numbered).otherwise(named), entity)
 
 
 def unescape(c: Column) -> Column:
-    for src, dst in _ENTITIES:
-        c = F.replace(c, F.lit(src), F.lit(dst))
-    return c
+    """Named and numeric entities decoded once: what becomes "&" comes last, so it
+    begins no new entity."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0))), lambda e: F.struct(e.alias("e"), _character(e).alias("c")))
+    ordered = F.concat(F.filter(found, lambda x: x["c"] != "&"), F.filter(found, lambda x: x["c"] == "&"))
+    return F.aggregate(ordered, c, lambda t, x: F.replace(t, x["e"], x["c"]))
 
 
 def html_to_text(c: Column) -> Column:
@@ -210,7 +227,8 @@ def html_to_text(c: Column) -> Column:
     that the visible text hides kept, tags off, entities decoded."""
     t = F.regexp_replace(c, "(?is)<!--.*?-->|<!DOCTYPE[^>]*>", "")
     t = F.regexp_replace(t, "(?is)<(script|style|head)\\b[^>]*>.*?</\\1\\s*>", "")
-    t = F.regexp_replace(t, "(?is)<a\\b[^>]*?href=\"(https?://[^\"]*)\"[^>]*>((?:(?!\\1).)*?)</a>", "$2 $1")
+    for target in (r'"(https?://[^"]*)"', r"'(https?://[^']*)'", r"(https?://[^\s\"'>]+)"):
+        t = F.regexp_replace(t, rf"(?is)<a\b[^>]*?href\s*=\s*{target}[^>]*>((?:(?!\1).)*?)</a>", "$2 $1")
     t = F.regexp_replace(t, "(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-4])\\s*>", "\n")
     t = unescape(F.regexp_replace(t, "(?s)<[^>]+>", ""))
     t = F.array_join(F.transform(F.split(t, "\r?\n"), lambda l: F.trim(l)), "\n")
@@ -228,6 +246,6 @@ def markdown_to_text(c: Column) -> Column:
         t = F.regexp_replace(t, r"!\[[^\]]*\]\([^)]*\)", "")
         t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]*\)", "$1")
         t = F.regexp_replace(t, r"(\*\*|__)(.+?)\1|(?U)(?<![\w*])\*(?!\s)(.+?)(?<!\s)\*(?!\w)", "$2$3")
-        return F.when(F.length(l) > W.TEXT_MAX_LINE, F.trim(l)).otherwise(F.trim(t))
+        return F.trim(t)
 
     return F.trim(F.array_join(F.transform(kept, clean), "\n"), F.lit(" \n\t"))

@@ -97,7 +97,7 @@ def line_features(lines: DataFrame) -> DataFrame:
                        "pshape": F.lag("shape").over(w), "nshape": F.lead("shape").over(w),
                        "seen_ing": F.coalesce(F.max(F.array_contains("shape", "is:heading_ingredients")).over(before), F.lit(False)),
                        "seen_steps": F.coalesce(F.max(F.array_contains("shape", "is:heading_steps")).over(before), F.lit(False))})
-    d = d.withColumn("folded", F.concat(F.lit(" "), F.substring(T.fold(F.col("line")), 1, 60), F.lit(" ")))
+    d = d.withColumn("folded", F.concat(F.lit(" "), T.fold(F.col("line")), F.lit(" ")))
     d = d.withColumn("scale", 1 / F.sqrt(F.greatest(F.size("ws"), F.lit(1)).cast("double")))
     one = lambda name, v=1.0: F.struct(name.alias("name"), (F.lit(v) if isinstance(v, float) else v).cast("double").alias("value"))
     num = lambda x: F.when(x.rlike(r"^\d+$"), "#").otherwise(x)
@@ -188,11 +188,11 @@ def positive_weights(examples_: DataFrame, tag: str = "tag") -> DataFrame:
     return g.withColumn("weight", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("neg") / F.greatest(F.col("pos"), F.lit(1)))))
 
 
-def eligible_tags(record_tags: DataFrame, n_records: Column, known: DataFrame) -> DataFrame:
-    """The most used tags with enough records with and without them, at most 50."""
+def eligible_tags(record_tags: DataFrame, n_records: Column, known: DataFrame, most: int | None = None) -> DataFrame:
+    """The tags with enough records with and without them; the ``most`` used of them where a number is given."""
     g = record_tags.groupBy("tag").agg(F.count_distinct("doc_id").alias("n"))
-    return (g.filter((F.col("n") >= W.MIN_POSITIVE) & (n_records - F.col("n") >= W.MIN_NEGATIVE)).join(known, "tag", "left_semi")
-            .orderBy(F.desc("n"), "tag").limit(W.MAX_TAG_MODELS))
+    able = g.filter((F.col("n") >= W.MIN_POSITIVE) & (n_records - F.col("n") >= W.MIN_NEGATIVE)).join(known, "tag", "left_semi")
+    return able if most is None else able.orderBy(F.desc("n"), "tag").limit(most)
 
 
 def fit_tag(train: DataFrame, pos_weight: float, l2: float = 1.0, max_iter: int = 50):
@@ -222,13 +222,15 @@ def out_of_fold(rows: DataFrame, tags: dict[str, float], folds: int, parallel: i
     return out
 
 
-def tag_report(scores: DataFrame, keyword: DataFrame) -> DataFrame:
+def tag_report(scores: DataFrame, keyword: DataFrame, most_unused: int | None = None) -> DataFrame:
     """scores(doc_id, tag, p, truth), keyword(doc_id, tag): only what the keywords missed
-    counts. (tag, status, threshold, best_precision), 12 unused ones at most."""
+    counts. (tag, status, threshold, best_precision); of the unused ones the ``most_unused`` best where a number is given."""
     extra = scores.join(keyword, ["doc_id", "tag"], "left_anti")
     r = (scores.select("tag").distinct().join(L.threshold(extra, "tag"), "tag", "left").join(L.best_precision(extra, "tag"), "tag", "left"))
     kept = r.filter("threshold IS NOT NULL").withColumn("status", F.lit("kept"))
-    unused = (r.filter("threshold IS NULL").withColumn("status", F.lit("not used")).orderBy(F.coalesce("best_precision", F.lit(0.0)).desc(), "tag").limit(12))
+    unused = r.filter("threshold IS NULL").withColumn("status", F.lit("not used"))
+    if most_unused is not None:
+        unused = unused.orderBy(F.coalesce("best_precision", F.lit(0.0)).desc(), "tag").limit(most_unused)
     return kept.unionByName(unused).select("tag", "status", "threshold", F.round("best_precision", 4).alias("best_precision"))
 
 
@@ -306,24 +308,27 @@ def uncertain(probs: DataFrame) -> DataFrame:
 
 
 def publish(model, root: str, spark, report: dict) -> str:
-    """Writes a new generation, then moves the pointer: readers see the old one or
-    the new one, whole."""
+    """Writes a new generation and then a pointer of its own to it. Nothing is overwritten: a
+    reader finds the highest pointer, so it sees the old generation or the new one, whole."""
     import json
-    pointers = spark.read.json(f"{root}/current") if _exists(spark, f"{root}/current") else None
-    gen = 1 if pointers is None else int(pointers.first()["generation"]) + 1
+    gen = _newest(root, spark) + 1
     path = f"{root}/gen-{gen:05d}"
-    model.write().overwrite().save(path)
-    spark.createDataFrame([(gen, path, json.dumps(report))], "generation long, path string, report string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    model.write().save(path)
+    spark.createDataFrame([(path, json.dumps(report))], "path string, report string").coalesce(1).write.json(f"{root}/current/gen={gen}")
     return path
 
 
 def current_model(root: str, spark) -> str | None:
-    return spark.read.json(f"{root}/current").first()["path"] if _exists(spark, f"{root}/current") else None
-
-
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).limit(1).count()
-        return True
-    except Exception:
-        return False
+    gen = _newest(root, spark)
+    return spark.read.json(f"{root}/current/gen={gen}").first()["path"] if gen else None
+
+
+def _newest(root: str, spark) -> int:
+    """The highest generation with a whole pointer, 0 without any; errors of the store are raised."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(done(s.getPath(), "_SUCCESS"))]
+    return max((int(n.removeprefix("gen=")) for n in names if n.startswith("gen=")), default=0)

@@ -29,7 +29,7 @@ def lexicon_words(c: Column) -> Column:
 def longest_name(lexicon: DataFrame, column: str) -> int:
     """Words in the longest name; a lexicon is small, its size checked here."""
     row = lexicon.agg(F.max(F.size(lexicon_words(F.col(column)))).alias("n")).first()
-    return max(1, min(int(row["n"] or 1), 12))
+    return max(1, int(row["n"] or 1))
 
 
 def keyword_hits(docs: DataFrame, doc_id: str, text: str, keywords: DataFrame) -> DataFrame:

@@ -42,11 +42,12 @@ def vocabulary_of(index: DataFrame) -> DataFrame:
 
 # --- queries ------------------------------------------------------------------------
 
-def parse(queries: DataFrame) -> DataFrame:
-    """queries(qid, q) -> (qid, n, typed, word, leave_out): at most 12 words, "-word"
+def parse(queries: DataFrame, most_words: int | None = None) -> DataFrame:
+    """queries(qid, q) -> (qid, n, typed, word, leave_out): all words, or the first ``most_words``; "-word"
     leaves out, control characters are blanks. ``word`` is the folded form."""
     clean = F.trim(F.regexp_replace(F.regexp_replace("q", "\\p{Cc}", " "), "(?U)\\s+", " "))
-    words = F.slice(F.filter(F.split(clean, " "), lambda w: w != ""), 1, W.MAX_QUERY_WORDS)
+    words = F.filter(F.split(clean, " "), lambda w: w != "")
+    words = words if most_words is None else F.slice(words, 1, most_words)
     w = queries.select("qid", F.posexplode(words).alias("n", "w")).filter("w <> '-'")
     out = F.col("w").startswith("-") & (F.length("w") > 1)
     typed = F.when(out, F.substring("w", F.lit(2), F.length("w"))).otherwise(F.col("w"))
@@ -122,12 +123,12 @@ def fuzzy_starts(words: DataFrame, vocab: DataFrame) -> DataFrame:
             .select("word", "term", "docs", (F.col("k") + 1).alias("d")))
 
 
-def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Up to three close spellings of words nothing starts with: (word, rank, term)."""
+def corrections(words: DataFrame, vocab: DataFrame, most: int = W.MAX_CORRECTIONS) -> DataFrame:
+    """The ``most`` closest spellings of words nothing starts with: (word, rank, term)."""
     w = words.select("word").distinct().filter(F.col("word").rlike("^[\\p{L}\\p{N}_]+$"))
     lost = cut_lineage(w.join(by_prefix(w, vocab).select("word").distinct(), "word", "left_anti"))
     found = (fuzzy(lost, vocab).unionByName(fuzzy_starts(lost, vocab)).groupBy("word", "term", "docs").agg(F.min("d").alias("d")))
-    return top_k(found, ["word"], [F.asc("d"), F.desc("docs"), F.asc("term")], W.MAX_CORRECTIONS).select("word", "rank", "term")
+    return top_k(found, ["word"], [F.asc("d"), F.desc("docs"), F.asc("term")], most).select("word", "rank", "term")
 
 
 def expand(words: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -111,7 +111,7 @@ def clean_ingredients(lines: Column) -> Column:
         tail = (prev.rlike(P.QTY_START) & (T.word_count(l) <= 2) & F.trim(l).rlike(P.WRAP_TAIL) & ~l.rlike(P.SALT_AND_PEPPER)
                 & ~l.rlike(W.INGREDIENT_TAIL))
         wrapped = l.rlike(r"^\p{Ll}") & (prev.rlike(P.WRAP_END) | tail)
-        goes_on = (F.coalesce(F.length(prev) < W.TEXT_MAX_LINE, F.lit(False)) & ~prev.endswith(":") & ~l.rlike(P.QTY_START)
+        goes_on = (prev.isNotNull() & ~prev.endswith(":") & ~l.rlike(P.QTY_START)
                    & ~l.endswith(":") & ((open_b > 0) | l.rlike(r"^[)\],;]") | wrapped))
         n = F.size(acc)
         return F.when(F.coalesce(goes_on, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))),
@@ -306,7 +306,7 @@ def segment(docs: DataFrame, learned: Callable[[DataFrame, DataFrame], DataFrame
              .when(F.col("route") == "lines", F.transform(F.filter("body", lambda l: l.rlike(P.NUMBERED_STEP)), lambda l: F.regexp_replace(l, P.NUMBERED_STEP, "")))
              .otherwise(clean_steps(F.col("raw_steps"))))
     left = F.when(F.col("route") == "no headings", F.filter(cut(body, F.lit(0), F.col("b_start")), lambda l: (T.word_count(l) <= 8) & ~is_prose(l) & yield_text(l).isNull() & ~caps_label(l))).otherwise(_empty())
-    served = F.get(F.array_compact(F.transform(F.slice("lines", 1, 12), yield_text)), F.lit(0))
+    served = F.get(F.array_compact(F.transform("lines", yield_text)), F.lit(0))
     d = d.withColumns({"_first_qty": F.array_min("qtys"), "ingredients": F.filter(F.coalesce(ingredients, _empty()), lambda l: yield_text(l).isNull()),
                        "steps": F.coalesce(steps, _empty()), "left_out": left,
                        "servings": F.when(F.col("route") == "parts", F.coalesce(F.get(F.array_compact(F.transform("body", yield_text)), F.lit(0)), served)).otherwise(served)})

@@ -44,7 +44,7 @@ def within_minutes(records: DataFrame, minutes: int, leave_out: bool = False) ->
 
 def with_all_tags(records: DataFrame, bridge: DataFrame, names: list[str]) -> DataFrame:
     """Relational division: one aggregate, one semi join."""
-    names = list(dict.fromkeys(names))[:W.MAX_TAGS]
+    names = list(dict.fromkeys(names))
     full = (bridge.filter(F.col("tag_name").isin(names)).groupBy("recipe_id")
             .agg(F.count_distinct("tag_name").alias("n")).filter(F.col("n") == len(names)))
     return records.join(full, records["id"] == full["recipe_id"], "left_semi")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.functions import amounts as A, text as T, words as W
+from quern.functions import amounts as A, text as T
 from quern.operators import enrich as E
 from quern.sources import pages as PG
 
@@ -25,18 +25,18 @@ def from_schema_org(docs: DataFrame, key: str, column: str, now: Column, ext: st
     has_own = PG.get(v, f"$['{ext}'].version", "string").isNotNull()
     lines = lambda p: F.coalesce(PG.get(v, p, "array<string>"), F.split(PG.get(v, p, "string"), "\n"))
     full = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
-    cut = lambda c, n: F.nullif(F.trim(F.substring(F.trim(c), 1, n)), F.lit(""))
+    full_text = lambda c: F.nullif(F.trim(c), F.lit(""))
     words = F.flatten(F.array_compact(F.array(lines("$.recipeCategory"), lines("$.recipeCuisine"), F.coalesce(PG.get(v, "$.keywords", "array<string>"), F.split(PG.get(v, "$.keywords", "string"), ",")))))
     single = PG.get(v, "$.aggregateRating.ratingCount", "string").isNull()
     return PG.recipe_objects(docs, key, column).select(
-        key, F.coalesce(cut(PG.get(v, "$.name", "string"), 500), F.lit("Untitled Recipe")).alias("title"),
+        key, F.coalesce(full_text(PG.get(v, "$.name", "string")), F.lit("Untitled Recipe")).alias("title"),
         full(F.coalesce(lines("$.recipeIngredient"), lines("$.ingredients"), F.array().cast("array<string>"))).alias("ingredients"),
-        PG.steps_of(PG.get(v, "$.recipeInstructions", "variant")).alias("steps"), cut(PG.text_at(v, "$.recipeYield"), 100).alias("servings"),
-        *[cut(F.coalesce(own(c), PG.get(v, p, "string")), 200).alias(c) for c, p in (("prep_time", "$.prepTime"), ("cook_time", "$.cookTime"), ("total_time", "$.totalTime"))],
-        cut(PG.get(v, "$.url", "string"), 2000).alias("source_url"), E.import_date(PG.get(v, "$.dateCreated", "string"), now).alias("created_at"),
-        F.coalesce(own("favorite", "boolean"), F.lit(False)).alias("favorite"), F.when(has_own, cut(own("notes"), W.NOTES_MAX)).alias("notes"),
+        PG.steps_of(PG.get(v, "$.recipeInstructions", "variant")).alias("steps"), full_text(PG.text_at(v, "$.recipeYield")).alias("servings"),
+        *[full_text(F.coalesce(own(c), PG.get(v, p, "string"))).alias(c) for c, p in (("prep_time", "$.prepTime"), ("cook_time", "$.cookTime"), ("total_time", "$.totalTime"))],
+        full_text(PG.get(v, "$.url", "string")).alias("source_url"), E.import_date(PG.get(v, "$.dateCreated", "string"), now).alias("created_at"),
+        F.coalesce(own("favorite", "boolean"), F.lit(False)).alias("favorite"), F.when(has_own, full_text(own("notes"))).alias("notes"),
         F.when(has_own, E.rating(own("tastiness_rating"))).when(single, E.rating(PG.get(v, "$.aggregateRating.ratingValue", "string"))).alias("tastiness_rating"),
-        F.when(~has_own, F.slice(F.array_distinct(full(words)), 1, W.MAX_TAGS)).alias("labels"))
+        F.when(~has_own, F.array_distinct(full(words))).alias("labels"))
 
 
 def read_foreign(raw: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -50,13 +50,13 @@ def from_foreign(good: DataFrame, keep: list[str], now: Column) -> DataFrame:
     """Fields of another app's records: text lines to lists, numbers off the steps."""
     r = lambda f: F.col(f"_r.{f}")
     lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    cut = lambda c, n: F.nullif(F.trim(F.substring(F.trim(c), 1, n)), F.lit(""))
+    full_text = lambda c: F.nullif(F.trim(c), F.lit(""))
     return good.select(
-        *keep, F.coalesce(cut(r("name"), 500), F.lit("Untitled Recipe")).alias("title"), lines(r("ingredients")).alias("ingredients"),
-        F.transform(lines(r("directions")), lambda s: F.regexp_replace(s, r"^\s*\d+[.)]\s+", "")).alias("steps"), cut(r("servings"), 100).alias("servings"),
-        *[cut(r(c), 200).alias(c) for c in ("prep_time", "cook_time", "total_time")], cut(r("source_url"), 2000).alias("source_url"), cut(r("notes"), W.NOTES_MAX).alias("notes"),
+        *keep, F.coalesce(full_text(r("name")), F.lit("Untitled Recipe")).alias("title"), lines(r("ingredients")).alias("ingredients"),
+        F.transform(lines(r("directions")), lambda s: F.regexp_replace(s, r"^\s*\d+[.)]\s+", "")).alias("steps"), full_text(r("servings")).alias("servings"),
+        *[full_text(r(c)).alias(c) for c in ("prep_time", "cook_time", "total_time")], full_text(r("source_url")).alias("source_url"), full_text(r("notes")).alias("notes"),
         (F.lower(F.coalesce(r("on_favorites"), F.lit(""))).isin("true", "1")).alias("favorite"), E.rating(r("rating")).alias("tastiness_rating"),
-        E.difficulty(r("difficulty")).alias("difficulty_rating"), F.slice(F.transform(F.coalesce(r("categories"), F.array().cast("array<string>")), lambda c: F.substring(F.trim(c), 1, 100)), 1, W.MAX_TAGS).alias("categories"),
+        E.difficulty(r("difficulty")).alias("difficulty_rating"), F.transform(F.coalesce(r("categories"), F.array().cast("array<string>")), lambda c: F.trim(c)).alias("categories"),
         E.import_date(r("created"), now).alias("created_at"))
 
 
