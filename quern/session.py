@@ -15,6 +15,7 @@ def local_session(cpus: str = "*", app: str = "quern", shuffle: int = 8) -> Spar
         .config("spark.driver.memory", os.environ.get("QUERN_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.functions import patterns as P, text as T
 
 LD_BLOCK = r'(?is)<script\b[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script\s*>'
-DEPTH = 3      # a list, its sections, their steps; deeper nodes are not read
+#: Levels of lists and sections that are opened.
+DEPTH = 6
 
 
 def get(v: Column, path: str, kind: str) -> Column:
@@ -35,25 +36,48 @@ def text_lines(c: Column) -> Column:
     return F.array_compact(F.transform(F.split(c, "\n"), clean_text))
 
 
+_ITEM = "array<struct<v:variant,line:string,level:int>>"
+
+
+def _opened(x: Column) -> Column:
+    """One item of a step list, opened: a list gives its members, a section its heading and
+    members one level deeper, anything else its lines."""
+    v = x["v"]
+    item = lambda value, line, at: F.struct(value.alias("v"), line.alias("line"), at.cast("int").alias("level"))
+    no_line, no_value = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    is_list, is_object = as_list(v).isNotNull(), F.schema_of_variant(v).startswith("OBJECT")
+    text, parts = get(v, "$.text", "string"), as_list(v, "$.itemListElement")
+    section = is_object & F.coalesce(F.array_contains(kinds(v), "HowToSection") | (parts.isNotNull() & text.isNull()), F.lit(False))
+    title = F.rtrim(clean_text(get(v, "$.name", "string")), F.lit(":"))
+    heading = F.when(title.isNotNull(), F.array(item(no_value, F.concat(title, F.lit(":")), -(x["level"] + 1)))).otherwise(F.array().cast(_ITEM))
+    members = F.transform(F.coalesce(F.when(is_list, as_list(v)).otherwise(parts), F.array().cast("array<variant>")),
+                          lambda m: item(m, no_line, x["level"] + F.when(section, 1).otherwise(0)))
+    plain = text_lines(F.when(is_object, F.coalesce(text, get(v, "$.name", "string"))).otherwise(get(v, "$", "string")))
+    lines = F.transform(F.coalesce(plain, F.array().cast("array<string>")), lambda l: item(no_value, l, x["level"]))
+    return F.when(v.isNull(), F.when(x["line"].isNotNull(), F.array(x)).otherwise(F.array().cast(_ITEM))).when(section, F.concat(heading, members)).when(
+        is_list, members).otherwise(lines)
+
+
 def steps_of(v: Column, depth: int = DEPTH) -> Column:
-    """Flat step texts of an instructions value; a section gives "Name:" and its steps."""
-    none = F.array().cast("array<string>")
-    if depth == 0:
-        return none
-    inner = F.flatten(F.transform(F.coalesce(as_list(v), F.array().cast("array<variant>")), lambda x: steps_of(x, depth - 1)))
-    kids = F.flatten(F.transform(F.coalesce(as_list(v, "$.itemListElement"), F.array().cast("array<variant>")), lambda x: steps_of(x, depth - 1)))
-    name, text = get(v, "$.name", "string"), get(v, "$.text", "string")
-    section = F.array_contains(kinds(v), "HowToSection") | (as_list(v, "$.itemListElement").isNotNull() & text.isNull())
-    title = F.rtrim(clean_text(name), F.lit(":"))
-    # one-element array as a name for the children, so that they are worked out once
-    headed = F.flatten(F.transform(F.array(kids), lambda ks: F.when((F.size(ks) > 0) & title.isNotNull(), F.concat(F.array(F.concat(title, F.lit(":"))), ks)).otherwise(ks)))
-    plain = F.coalesce(text_lines(F.coalesce(text, name)), none)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    return (F.when(v.isNull(), none).when(as_list(v).isNotNull(), inner).when(is_object & F.coalesce(section, F.lit(False)), headed)
-            .when(is_object, plain).otherwise(F.coalesce(text_lines(get(v, "$", "string")), none)))
-
-
-def recipe_objects(json: DataFrame, key: str, column: str, rounds: int = 6) -> DataFrame:
+    """Flat step texts of an instructions value; a section gives "Name:" and its steps, one
+    without steps nothing. Opened round by round on one list of items, so the expression grows with
+    ``depth`` only; a heading at level n is kept as level -n."""
+    items = F.array(F.struct(v.alias("v"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("level"))).cast(_ITEM)
+    for _ in range(depth):
+        items = F.flatten(F.transform(items, _opened))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(0).alias("below"))
+
+    def keep(acc, x):
+        # from the last item to the first: a heading stays if what follows it is deeper
+        level = F.abs(x["level"])
+        stays = (x["level"] >= 0) | (acc["below"] >= level)
+        below = F.when(x["level"] >= 0, level).otherwise(level - 1)
+        return F.when(stays, F.struct(F.array_append(acc["lines"], x["line"]).alias("lines"), below.alias("below"))).otherwise(acc)
+    full = F.filter(items, lambda x: x["line"].isNotNull())
+    return F.reverse(F.aggregate(F.reverse(full), start, keep)["lines"])
+
+
+def recipe_objects(json: DataFrame, key: str, column: str, rounds: int = 12) -> DataFrame:
     """(key, ord, v): the Recipe objects of JSON texts: lists, @graph and main entities
     opened round by round, at most ``rounds`` deep."""
     is_recipe = F.array_contains(kinds(F.col("v")), "Recipe")

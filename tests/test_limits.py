@@ -1,10 +1,13 @@
 """Long, wide and odd input goes through whole."""
+import json
+
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.amounts import with_parsed
 from quern.operators import learn, lexicon, search, selection
+from quern.sources import pages
 
 
 def one(spark, value, make):
@@ -60,3 +63,12 @@ def test_generations(spark, tmp_path):
     assert learn.current_model(root, spark) == first
     second = learn.publish(model, root, spark, {"n": 2})
     assert learn.current_model(root, spark) == second != first
+
+
+def test_sections_inside_sections(spark):
+    section = lambda name, *parts: {"@type": "HowToSection", "name": name, "itemListElement": list(parts)}
+    cases = [section("Dough:", section("Inner", "mix", {"text": "rest"}), "bake"), [[["q"]]], [section("E"), section("F", section("G")), "end"],
+             section("a", section("b", section("c", section("d", "deep")))), 7, None]
+    rows = spark.createDataFrame([(n, json.dumps(c)) for n, c in enumerate(cases)], "n int, j string")
+    found = {r["n"]: r["s"] for r in rows.select("n", pages.steps_of(F.try_parse_json("j")).alias("s")).collect()}
+    assert found == {0: ["Dough:", "Inner:", "mix", "rest", "bake"], 1: ["q"], 2: ["end"], 3: ["a:", "b:", "c:", "d:", "deep"], 4: ["7"], 5: []}
