@@ -1,7 +1,7 @@
 """Query of the secrets; it has no SQL (case rules and code points of regular expressions)."""
 from pyspark.sql import functions as F
 
-from quern.llm.secrets import BASE, secret_spans, span_text
+from quern.llm.credentials import BASE, secret_spans, span_text
 
 NAME = "op1_secret_scan"
 

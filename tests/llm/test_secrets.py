@@ -1,6 +1,6 @@
 import re
 
-from quern.llm.secrets import BASE, KINDS, NEEDS, REACH, ROLES, found_spans, secret_spans, span_text
+from quern.llm.credentials import BASE, KINDS, NEEDS, REACH, ROLES, found_spans, secret_spans, span_text
 
 from .common import empty, odd_texts, table
 

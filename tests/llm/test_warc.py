@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 
 import pytest
@@ -61,12 +60,6 @@ def test_broken_archives(spark):
         list(parsed(whole[0][:-1] + b"!" + whole[1]))
     for name, data in (("gap", [whole[0], *whole[2:]]), ("end", whole[:-1])):
         to = new_path(spark, f"broken-{name}")
-        spark.createDataFrame([(b"".join(data).decode("latin-1"),)], "value string").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(to)
-        local = to.removeprefix("file://")
-        import os
-        for f in os.listdir(local):
-            if f.endswith(".gz"):
-                with gzip.open(f"{local}/{f}") as g:
-                    assert g.read()
+        spark.createDataFrame([(b"".join(data).decode("latin-1"),)], "value string").coalesce(1).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(to)
         with pytest.raises(Exception, match="segments missing|wrong total|no record"):
             read_archives(spark, to).collect()
