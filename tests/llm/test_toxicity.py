@@ -20,16 +20,22 @@ def test_windows_cover_the_text():
     assert windows(plain("")) and windows(plain(None))
 
 
-def test_screened_windows_save_what_all_windows_save():
+def test_windows_with_something_in_common_are_compressed():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100)]
-    usual = plain(" ".join(words))
-    scorer = Scorer(usual, b" horrible nonsense ")
+    usual, telling = plain(" ".join(words)), b" horrible nonsense "
+    scorer = Scorer(usual, telling)
+    grams = {telling[i:i + 4] for i in range(len(telling) - 3)}
+    gained = 0
     for _ in range(50):
         t = " ".join(rng.choice([*words, "horrible", "nonsense"] if rng.random() < 0.1 else words) for _ in range(80))
         saved = scorer.savings(t)
-        full = np.array([max(0, scorer._base.length(w) - scorer._both.length(w)) for w in windows(plain(t))])
-        assert (saved <= full).all() and (full - saved).max() <= 3 and ((full >= 4) == (saved >= 4)).all()
+        for w, s in zip(windows(plain(t)), saved, strict=True):
+            if any(w[i:i + 4] in grams for i in range(len(w) - 3)):
+                assert s == max(0, scorer._base.length(w) - scorer._both.length(w))
+            gained += s >= 4 and (b"horrible" in w or b"nonsense" in w)
+            assert s < 4 or any(w[i:i + 4] in grams for i in range(len(w) - 3))
+    assert gained >= 3
 
 
 def test_copies_do_not_make_words_typical():
