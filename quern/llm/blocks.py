@@ -116,14 +116,17 @@ def answers_of(row_answers: pa.Scalar) -> dict[int, bytes]:
 
 # ------------------------------------------------------------------ packed arrays
 def pack_bytes(items: list[bytes]) -> bytes:
-    """Byte strings as one: their number, lengths and contents."""
-    return np.array([len(items), *map(len, items)], np.uint32).tobytes() + b"".join(items)
+    """Byte strings as one: their number, the width of a length, the lengths and the contents."""
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    kind = np.uint8 if not len(items) or lengths.max() < 256 else np.uint32
+    return np.array([len(items), np.dtype(kind).itemsize], np.uint32).tobytes() + lengths.astype(kind).tobytes() + b"".join(items)
 
 
 def unpack_bytes(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 * (n + 1)
-    at, out = 4 * (n + 1), []
+    n, width = np.frombuffer(data, np.uint32, 2).tolist()
+    at = 8 + width * n
+    ends = np.cumsum(np.frombuffer(data, np.uint8 if width == 1 else np.uint32, n, 8), dtype=np.int64) + at
+    out = []
     for end in ends.tolist():
         out.append(data[at:end])
         at = end

@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame
 from quern.llm.blocks import Stored, answers_of, gathered, pack_bytes, packed, replies, shuffle_partitions, unpack_bytes
 
 
+#: A larger block names fewer words twice.
+BLOCK_BYTES = 16_000_000
+
+
 @lru_cache(4)
 def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, int], list[bytes]]:
     """Ranks of the tokens, rank of the merge of two ranks (left << 32 | right), and the bytes of each rank."""
@@ -39,6 +43,11 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, int], list[bytes]
     return ranks, merges, table
 
 
+def id_kind(path: str) -> type:
+    """The narrowest kind of integer that holds the ids of a vocabulary."""
+    return np.uint16 if len(vocabulary(path)[2]) <= 1 << 16 else np.uint32
+
+
 class Splitter:
     """Matches of a pattern; texts of ASCII alone take the same pattern in the faster engine."""
 
@@ -107,6 +116,15 @@ def replay(words: list[bytes], ranks: dict[bytes, int], merges: dict[int, int])
     return found
 
 
+def by_weight(numbers: np.ndarray) -> bytes:
+    """32-bit integers as all their lowest bytes, then all the next ones, and so on."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_weights(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _numbered(splitter: Splitter):
     class Numbers(dict):
         def __missing__(self, word):
@@ -120,9 +138,14 @@ def _numbered(splitter: Splitter):
             words = splitter.words(data.decode())
             counts.append(len(words))
             parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-        return {"counts": pa.array([counts], pa.list_(pa.int32())),
-                "places": pa.array([np.concatenate(parts).tobytes()], pa.binary()),
-                "words": pa.array([pack_bytes([w.encode() for w in numbers])], pa.binary())}
+        places = np.concatenate(parts)
+        # the commonest words get the smallest numbers, and bytes of like weight lie together: both compress well
+        order = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(numbers)
+        return {"counts": pa.array([counts], pa.list_(pa.int32())), "places": pa.array([by_weight(number[places])], pa.binary()),
+                "words": pa.array([pack_bytes([words[k].encode() for k in order.tolist()])], pa.binary())}
     return make
 
 
@@ -141,7 +164,8 @@ def _answer(path: str):
         lists = [unpack_bytes(x) for x in asked]
         distinct = list(dict.fromkeys(w for ws in lists for w in ws))
         ids = dict(zip(distinct, replay(distinct, ranks, merges), strict=True))
-        return [pack_bytes([np.array(ids[w], np.uint32).tobytes() for w in ws]) for ws in lists]
+        kind = id_kind(path)
+        return [pack_bytes([np.array(ids[w], kind).tobytes() for w in ws]) for ws in lists]
     return run
 
 
@@ -154,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     go. An empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    stored = Stored(packed(docs, _numbered(Splitter(pattern)), "counts array<int>, places binary, words binary", id_col, text_col))
+    stored = Stored(packed(docs, _numbered(Splitter(pattern)), "counts array<int>, places binary, words binary", id_col, text_col, BLOCK_BYTES))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +186,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 words = unpack_bytes(batch.column("words")[k].as_py())
                 replies = {b: iter(unpack_bytes(a)) for b, a in answers_of(batch.column("answers")[k]).items()}
                 by_word = [next(replies[zlib.crc32(w) % buckets]) for w in words]
-                table = np.frombuffer(b"".join(by_word), np.uint32)
-                size = np.array([len(x) // 4 for x in by_word], np.int64)
+                kind = id_kind(path)
+                table = np.frombuffer(b"".join(by_word), kind).astype(np.uint32)
+                size = np.fromiter(map(len, by_word), np.int64, len(by_word)) // np.dtype(kind).itemsize
                 start = np.cumsum(size) - size
-                places = np.frombuffer(batch.column("places")[k].as_py(), np.uint32)
+                places = from_weights(batch.column("places")[k].as_py())
                 ids, at = batch.column("ids")[k].values, 0
                 made, n_tokens = [], []
                 for count in batch.column("counts")[k].as_py():
