@@ -34,12 +34,14 @@ def backfill_lines(lines: DataFrame) -> DataFrame:
 
 def tag_lexicon(spark, extra: DataFrame | None = None) -> DataFrame:
     """(tag_name, category, ord, keyword, rules_out_veg): the built-in keywords, then the
-    rows of ``extra`` (same columns without ord), as a user adds them."""
+    rows of ``extra`` (same columns, in the order of ``ord`` where it has one), as a user adds them."""
     rows = [(t, c, i, k, t in W.MEAT_TAGS) for c, t, ks in W.TAG_KEYWORDS for i, k in enumerate(ks)]
     base = spark.createDataFrame(rows, "tag_name string, category string, ord int, keyword string, rules_out_veg boolean")
     if extra is None:
         return base
-    added = extra.select("tag_name", "category", (F.xxhash64("keyword") % 1000000 + 2000000).cast("int").alias("ord"), "keyword", "rules_out_veg")
+    # rows without an order of their own come after those with one, by a hash and then by keyword
+    order = F.col("ord") + 1_000_000 if "ord" in extra.columns else F.pmod(F.xxhash64("keyword"), F.lit(1_000_000)) + 1_000_000_000
+    added = extra.select("tag_name", "category", order.cast("int").alias("ord"), "keyword", "rules_out_veg")
     return base.unionByName(added)
 
 

@@ -39,7 +39,7 @@ def keyword_hits(docs: DataFrame, doc_id: str, text: str, keywords: DataFrame) -
     n = longest_name(keywords, "keyword")
     g = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.transform(
         grams(lexicon_words(F.col(text)), n), lambda x: x["gram"]))).alias("gram"))
-    return (g.join(k, "gram").groupBy("doc_id", "tag_name", "category").agg(F.min_by("keyword", "ord").alias("keyword")))
+    return (g.join(k, "gram").groupBy("doc_id", "tag_name", "category").agg(F.min_by("keyword", F.struct("ord", "keyword")).alias("keyword")))
 
 
 def expand_plurals(lexicon: DataFrame, name: str) -> DataFrame:
