@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.blocks import Stored, answers_of, packed, replies, shuffle_partitions
 from quern.llm.fingerprints import mixed
-from quern.llm.scratch import hot_lookup, new_path, settled
+from quern.llm.scratch import FEW_ROWS, hot_lookup, new_path, settled
 from quern.llm.words import shingles, word_hashes
 
 WIDTH = 5
@@ -29,8 +29,8 @@ THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8 ** 4) ** 20 > 0.9999.
 BANDS, ROWS = 20, 4
 BLOCK_BYTES = 4_000_000
-#: Pivots a bucket takes at once, after the first.
-PIVOTS = 32
+#: A bucket takes one pivot, then this many at once, then this many times more in each round.
+GROWTH = 16
 
 
 @lru_cache(1)
@@ -50,17 +50,23 @@ def weighted_samples(keys: np.ndarray, weights: np.ndarray, n: int) -> np.ndarra
     agree in one with a chance of their weighted Jaccard similarity."""
     gamma = _gamma_table()
     log_gamma, log_w = np.log(gamma), np.log(weights)
-    best, step = np.empty(n, np.int64), np.empty(n, np.int64)
     turns = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=np.uint64)
-    for k in range(n):
-        u = mixed(keys + turns[k])
+    low, chosen, step = np.full(n, np.inf), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for at in range(0, len(keys), 1024):        # all hashes of some keys at once
+        part = keys[at:at + 1024]
+        u = mixed(part[None, :] + turns[:, None])
         r = gamma[(u & np.uint64(0xFFFF)).astype(np.int64)]
-        log_c = log_gamma[(u >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = (u >> np.uint64(32)).astype(np.float64) / 2.0 ** 32
-        t = np.floor(log_w / r + beta)
-        best[k] = np.argmin(log_c - r * (t - beta + 1))
-        step[k] = t[best[k]]
-    return keys[best] * np.uint64(31) + step.astype(np.uint64)
+        beta = (u >> np.uint64(32)).astype(np.float64)
+        beta *= 2.0 ** -32
+        t = np.floor(log_w[None, at:at + 1024] / r + beta)
+        score = log_gamma[(u >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)]
+        score -= r * (t - beta + 1)
+        best = np.argmin(score, axis=1)
+        rows = np.arange(n)
+        better = score[rows, best] < low
+        low[better] = score[rows, best][better]
+        chosen[better], step[better] = part[best][better], t[rows, best][better]
+    return chosen * np.uint64(31) + step.astype(np.uint64)
 
 
 def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
@@ -215,18 +221,28 @@ def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes in links (a, b), comp the smallest node of each component."""
+    """(node, comp) of the nodes in links (a, b), comp the smallest node of each component.
+
+    Each round takes the least label among a node's neighbours and then that label's own
+    label, so chains shorten by halves. Labels of few nodes (counted once) are broadcast."""
     both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("n")))
+    labels = settled(both.groupBy("a").agg(F.min("b").alias("near"), F.count("*").alias("degree"))
+                     .select(F.col("a").alias("node"), F.least("a", "near").alias("comp"), "degree"))
+    few = labels.count() <= FEW_ROWS
+
+    def label_of(rows: DataFrame, column: str, into: str) -> DataFrame:
+        table = labels.select(F.col("node").alias(column), F.col("comp").alias(into))
+        if few:
+            return rows.join(F.broadcast(table), column)
+        held = rows.groupBy(column).agg(F.count("*").alias("held"))
+        return hot_lookup(rows, settled(held.join(table, column)), column, "held").drop("held")
+
     while True:
-        near = hot_lookup(both, labels.select(F.col("node").alias("a"), "comp", "n"), "a", "n").groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("new"))
-        step = labels.join(near, "node").select("node", "comp", "n", F.least("comp", "new").alias("new"))
-        # pointer jump: the label of the label
-        jump = settled(step)
-        owner = jump.select(F.col("node").alias("new"), F.col("new").alias("next")).join(
-            jump.groupBy("new").agg(F.count("*").alias("held")), "new")
-        after = settled(hot_lookup(jump, settled(owner), "new", "held").select(
-            "node", F.coalesce(F.least("new", "next"), "new").alias("comp"), "n", (F.coalesce(F.least("new", "next"), "new") != F.col("comp")).alias("moved")))
+        near = label_of(both, "a", "new").groupBy(F.col("b").alias("node")).agg(F.min("new").alias("new"))
+        step = labels.join(near, "node").select("node", "degree", "comp", F.least("comp", "new").alias("low"))
+        step = step if few else settled(step)
+        after = settled(label_of(step, "low", "lower").select("node", "degree", F.least("low", "lower").alias("comp"),
+                                                               (F.least("low", "lower") != F.col("comp")).alias("moved")))
         labels = after.drop("moved")
         if after.filter("moved").isEmpty():
             return labels.select("node", "comp")
@@ -241,32 +257,39 @@ def _pivots(members: DataFrame, least: int, most: int) -> DataFrame:
     return few.withColumn("r", rank("key")).filter((F.col("r") > least) & (F.col("r") <= most)).select("key", F.col("node").alias("pivot"))
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least node that links lead to in two steps. Nodes of one label are connected."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
+    return both.join(one.withColumnRenamed("a", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")).select(
+        "node", F.least("node", "m").alias("label"))
+
+
 def _links(vectors: DataFrame, threshold: float) -> DataFrame | None:
-    """Links that connect, within each bucket, all nodes that similarities connect."""
+    """Links that connect, within each bucket, all nodes that similarities connect: every pair of a
+    bucket is tested unless both are known to be connected."""
     rows = vectors.select("node", F.explode("bands").alias("key"))
     sizes = settled(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
     members = settled(hot_lookup(rows, sizes, "key", "n").filter("n IS NOT NULL"))
-    pairs = settled(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    if pairs.isEmpty():
+    largest = sizes.agg(F.max("n")).first()[0]
+    if largest is None:
         return None
-    links, tested, done = settled(_similar(pairs, vectors, threshold)), pairs, 1
-    while True:
-        comps = components(links).withColumn("one", F.lit(1))
-        # buckets whose nodes are in several components and not all pairs of them tested
-        labelled = settled(hot_lookup(members.select("key", "node", "n"), comps, "node", "one")
-                           .select("key", "node", "n", F.coalesce("comp", "node").alias("comp")))
-        open_keys = settled(labelled.filter(F.col("n") > done + 1).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("n").alias("n"))
-                            .filter("low <> high").select("key", "n"))
-        if open_keys.isEmpty():
-            return links
-        left = settled(hot_lookup(labelled.select("key", "node", "comp"), open_keys.withColumnRenamed("n", "size"), "key", "size").filter("size IS NOT NULL"))
-        pivots = _pivots(left, done, done + PIVOTS).join(left.select("key", F.col("node").alias("pivot"), F.col("comp").alias("own")), ["key", "pivot"])
-        pairs = (left.join(pivots, "key").filter((F.col("node") > F.col("pivot")) & (F.col("comp") != F.col("own")))
+    tested = settled(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    links, done, more = settled(_similar(tested, vectors, threshold)), 1, GROWTH
+    while largest > done + 1:       # of done + 1 nodes all pairs are tested
+        left = settled(members.filter(F.col("n") > done + 1).select("key", "node").join(_near_labels(links), "node", "left")
+                       .select("key", "node", F.coalesce("label", "node").alias("label")))
+        mixed_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        pivots = (_pivots(left, done, done + more).join(mixed_keys, "key", "left_semi")
+                  .join(left.select("key", F.col("node").alias("pivot"), F.col("label").alias("own")), ["key", "pivot"]))
+        pairs = (left.join(pivots, "key").filter((F.col("node") > F.col("pivot")) & (F.col("label") != F.col("own")))
                  .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
         pairs = settled(pairs.join(tested, ["a", "b"], "left_anti"))
-        done += PIVOTS
-        links = settled(links.unionByName(_similar(pairs, vectors, threshold)))
-        tested = tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            links = settled(links.unionByName(_similar(pairs, vectors, threshold)))
+            tested = tested.unionByName(pairs)
+        done, more = done + more, more * GROWTH
+    return links
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
