@@ -43,6 +43,49 @@ def test_copies_do_not_make_words_typical():
     assert telling_words(toxic, [plain(f"plain {k}") for k in range(100)]) == [b"vile"]
 
 
+def rare_lexicon():
+    """Toxic and ordinary texts of the same words; each of 40 more is in a twentieth of the toxic ones, late in some."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    telling = ["".join(rng.choice("qrstuvwxyz") for _ in range(7)) for _ in range(40)]
+    texts = []
+    for k in range(1800):
+        body = [rng.choice(words) for _ in range(60 if k % 100 else 5_000)]
+        if k < 600:
+            body[-10], body[-5] = telling[k % 40], telling[(k // 40 * 7 + k + 3) % 40]
+        texts.append((" ".join(body), int(k < 600)))
+    return texts, telling
+
+
+def test_a_lexicon_of_rare_words_is_found():
+    texts, telling = rare_lexicon()
+    assert max(sum(w in t for t, y in texts if y) for w in telling) < 0.06 * 600
+    found = telling_words([plain(t) for t, y in texts if y], [plain(t) for t, y in texts if not y])
+    assert set(found) == {w.encode() for w in telling}
+    rng = random.Random(6)
+    rng.shuffle(texts)
+    model = fit(texts[:1400])
+    scorer = Scorer(model.ordinary, model.toxic, model.thresholds)
+    right = [(float(((np.array(scorer.features(t)) - model.mean) / model.spread) @ model.weights[:-1] + model.weights[-1]) >= 0) == y for t, y in texts[1400:]]
+    assert np.mean(right) > 0.95
+
+
+def test_near_copies_do_not_make_words_typical():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    base = [rng.choice(words) for _ in range(40)] + ["qqqq"]
+    toxic = [plain(" ".join(w if rng.random() > 0.05 or w == "qqqq" else rng.choice(words) for w in base)) for _ in range(50)]
+    ordinary = [plain(" ".join(rng.choice(words) for _ in range(40))) for _ in range(300)]
+    found = telling_words(toxic, ordinary)
+    assert len(found) <= 1 and all(b" " in u for u in found)      # a pair whose text has edits on both sides may stay
+
+
+def test_the_sample_has_whole_texts(spark):
+    docs = table(spark, ["word " * 8_000 + f"end{k}" for k in range(10)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    assert all(t[-4:-1] == "end" for t, _ in labelled_sample(docs, labels))
+
+
 def test_held_out_accuracy(spark):
     rows = q_toxicity.run(spark, DATA).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
