@@ -1,8 +1,10 @@
 """Near duplicates: consistent weighted samples of TF-IDF shingles, banded, verified.
 
-1. Blocks ask hash buckets for the document frequency of each distinct shingle.
-2. A document can have a partner of similarity T only if shingles that some other document
-   has, too, make up T of its weight; others are done. Documents of the same words are one node.
+1. Documents of the same words are one node; of all blocks that have a node, the first one owns it.
+   Blocks ask hash buckets in how many nodes each distinct shingle of the nodes they own is, so
+   copies of a text change no weight.
+2. A node can have a partner of similarity T only if shingles that some other node
+   has, too, make up T of its weight; others are done.
 3. Improved consistent weighted sampling draws one shingle per hash with a chance
    in proportion to the minimum of the weights; bands of these are bucket keys.
 4. In each bucket every node is compared with a pivot by weighted Jaccard similarity, and
@@ -83,12 +85,14 @@ def weighted_jaccard(a_keys: np.ndarray, a: np.ndarray, b_keys: np.ndarray, b: n
 
 # ------------------------------------------------------------------ document frequencies
 class _Block:
-    """Words and distinct shingles of a block's texts."""
+    """Words and distinct shingles of the nodes that a block owns."""
 
     def __init__(self, row: dict, buckets: int):
-        sizes, data = row["sizes"].as_py(), row["data"].as_py()
-        ends = np.cumsum(sizes).tolist()
-        self.words, self.counts = word_hashes([data[e - s:e] for s, e in zip(sizes, ends, strict=True)])
+        self.nodes, sizes, data = row["nodes"].as_py(), row["sizes"].as_py(), row["data"].as_py()
+        ends, owned = np.cumsum(sizes).tolist(), _owned(self.nodes, answers_of(row["owners"]), buckets)
+        #: places in the block of the documents that stand for the nodes
+        self.docs = [d for d, own in enumerate(owned) if own]
+        self.words, self.counts = word_hashes([data[ends[d] - sizes[d]:ends[d]] for d in self.docs] or [b""])
         keys, text = shingles(self.words, self.counts, WIDTH)
         order = np.lexsort((keys, text))
         keys, text = keys[order], text[order]
@@ -105,7 +109,7 @@ class _Block:
 
     def parts(self) -> list[tuple[int, int, int]]:
         names, starts = np.unique(self.buckets, return_index=True)
-        return list(zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(self.asked)], strict=True))
+        return list(zip(names.tolist(), starts.tolist(), [*starts.tolist(), len(self.asked)][1:], strict=True))
 
     def ask(self) -> tuple[list[int], list[bytes]]:
         parts = self.parts()
@@ -151,18 +155,65 @@ def _frequencies(asked: list[bytes]) -> list[bytes]:
     return [np.packbits(bits).tobytes() + total[at].astype(np.uint32).tobytes() for bits, at in found]
 
 
+def _digests(texts: list[bytes]) -> list[bytes | None]:
+    """The node of each text: the digest of its words, None without words."""
+    words, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    return [hashlib.blake2b(words[e - n:e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
 def _make(texts: list[bytes]) -> dict[str, pa.Array]:
-    return {"sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), "data": pa.array([b"".join(texts)], pa.binary())}
+    return {"sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), "data": pa.array([b"".join(texts)], pa.binary()),
+            "nodes": pa.array([_digests(texts)], pa.list_(pa.binary()))}
+
+
+# ------------------------------------------------------------------ owners of nodes
+def _by_bucket(nodes: list[bytes | None], buckets: int) -> dict[int, list[bytes]]:
+    """The distinct nodes of a block in the order of their first documents, by bucket."""
+    out: dict[int, list[bytes]] = {}
+    for node in dict.fromkeys(n for n in nodes if n is not None):
+        out.setdefault(int.from_bytes(node[:4], "little") % buckets, []).append(node)
+    return out
+
+
+def _ask_owners(row: dict, buckets: int) -> tuple[list[int], list[bytes]]:
+    parts, block = _by_bucket(row["nodes"].as_py(), buckets), row["block"].as_py().to_bytes(8, "little")
+    return list(parts), [block + b"".join(p) for p in parts.values()]
+
+
+def _owners(asked: list[bytes]) -> list[bytes]:
+    """For each block, a bit for the nodes that no block of a lower number has."""
+    out, seen = [b""] * len(asked), set()
+    for k in sorted(range(len(asked)), key=lambda k: int.from_bytes(asked[k][:8], "little")):
+        nodes = [asked[k][at:at + 16] for at in range(8, len(asked[k]), 16)]
+        out[k] = np.packbits(np.array([n not in seen for n in nodes], bool)).tobytes()
+        seen.update(nodes)
+    return out
+
+
+def _owned(nodes: list[bytes | None], answers: dict[int, bytes], buckets: int) -> list[bool]:
+    """Whether a document is the first one of a node that its block owns."""
+    own = set()
+    for b, part in _by_bucket(nodes, buckets).items():
+        bits = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=len(part))
+        own.update(n for n, bit in zip(part, bits, strict=True) if bit)
+    out = []
+    for n in nodes:
+        out.append(n in own)
+        own.discard(n)
+    return out
 
 
 def weighted_nodes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(id, node, keys, weights, bands), written to the shared folder. A node is the digest of
-    a text's words, null without words. Only the first document of a node in its block that
-    can have a partner has the last three columns."""
+    a text's words, null without words. Only one document of a node, and only if
+    the node can have a partner, has the last three columns."""
     spark, kind, buckets = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), 2 * shuffle_partitions(docs)
-    stored = Stored(packed(docs, _make, "sizes array<bigint>, data binary", id_col, text_col, BLOCK_BYTES))
-    total = stored.table.agg(F.sum(F.size("ids"))).first()[0] or 0
-    told = replies(stored.table, lambda row: _Block(row, buckets).ask(), _frequencies, "answers")
+    stored = Stored(packed(docs, _make, "sizes array<bigint>, data binary, nodes array<binary>", id_col, text_col, BLOCK_BYTES))
+    total = stored.table.select(F.explode("nodes").alias("node")).agg(F.count_distinct("node")).first()[0]
+    owners = settled(replies(stored.table.select("block", "nodes"), lambda row: _ask_owners(row, buckets), _owners, "owners"))
+    blocks = stored.table.join(owners, "block", "left")
+    told = replies(blocks, lambda row: _Block(row, buckets).ask(), _frequencies, "answers")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,28 +226,21 @@ def weighted_nodes(docs: DataFrame, id_col: str, text_col: str, threshold: float
                 mass = np.bincount(block.text, weights, n)
                 shared = np.bincount(block.text, weights * (df > 1), n)
                 likely = (shared >= threshold * mass * (1 - 1e-9)) & (mass > 0)
-                ends, cut = np.cumsum(block.counts), np.searchsorted(block.text, np.arange(n + 1))
-                nodes, vectors, seen = [], [], set()
-                for d in range(n):
-                    count = int(block.counts[d])
-                    node = hashlib.blake2b(block.words[ends[d] - count:ends[d]].tobytes(), digest_size=16).digest() if count else None
-                    nodes.append(node)
-                    if not likely[d] or node in seen:
-                        vectors.append((None, None, None))
-                        continue
-                    seen.add(node)
+                cut = np.searchsorted(block.text, np.arange(n + 1))
+                vectors = [(None, None, None)] * len(block.nodes)
+                for d in np.flatnonzero(likely).tolist():
                     keys, w = block.keys[cut[d]:cut[d + 1]], weights[cut[d]:cut[d + 1]]
                     bands = band_keys(weighted_samples(keys, w, BANDS * ROWS), BANDS)
                     short = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     order = np.argsort(short, kind="stable")
-                    vectors.append((short[order].tobytes(), w[order].astype(np.float32).tobytes(), bands.tolist()))
+                    vectors[block.docs[d]] = (short[order].tobytes(), w[order].astype(np.float32).tobytes(), bands.tolist())
                 columns = list(zip(*vectors, strict=True))
-                yield pa.record_batch([batch.column("ids")[k].values, pa.array(nodes, pa.binary()), pa.array(columns[0], pa.binary()),
+                yield pa.record_batch([batch.column("ids")[k].values, pa.array(block.nodes, pa.binary()), pa.array(columns[0], pa.binary()),
                                        pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))],
                                       names=["id", "node", "keys", "weights", "bands"])
 
     path = new_path(spark, "nodes")
-    made = stored.table.join(told, "block", "left").select("ids", "sizes", "data", "answers").mapInArrow(
+    made = blocks.join(told, "block", "left").select("ids", "sizes", "data", "nodes", "owners", "answers").mapInArrow(
         finish, f"id {kind}, node binary, keys binary, weights binary, bands array<bigint>")
     made.write.option("compression", "zstd").parquet(path)
     stored.drop()

@@ -76,6 +76,21 @@ def test_classes_against_all_pairs(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["id"] == r["class_id"]) for r in found)
 
 
+def test_a_near_copy_beside_few_and_many_copies(spark):
+    """Copies of a text don't change how similar another one is to it."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2_000)]
+    other = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(200)]
+    base = [rng.choice(words) for _ in range(104)]
+    near = base[:50] + ["edited"] + base[51:]       # 5 of 100 shingles differ
+    far = [w if k % 12 else "other" for k, w in enumerate(base)]
+    for copies in (10, 10_000):
+        texts = [*other, " ".join(near), " ".join(far), *[" ".join(base)] * copies]
+        found = {r["id"]: r for r in near_classes(table(spark, texts)).collect()}
+        assert found[200]["class_size"] == copies + 1 and found[len(texts) - 1]["class_id"] == 200
+        assert found[201]["class_size"] == 1
+
+
 def test_chain_in_one_bucket(spark):
     """All nodes share a bucket; neighbours alone are similar, so pivots have to go on to find the chain."""
     rows = []
