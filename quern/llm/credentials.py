@@ -3,7 +3,7 @@
 A pass over the texts finds spans of certain forms (assignments of secrets, access keys,
 long hex strings) and weak ones: user names, endpoints, mixed strings. A weak span is
 reported where its complements are near: within ``REACH`` characters and in the same
-paragraph. That interval join is a range window over the few texts that have weak
+paragraph. That interval join is two running windows over the few texts that have weak
 spans, so it lists no pairs.
 """
 from __future__ import annotations
@@ -25,7 +25,7 @@ KINDS = [*BASE, *WEAK]
 ROLES = BASE | WEAK
 #: A weak span needs these parts near it.
 NEEDS = {"user": ["secret"], "mixed": ["identifier"], "endpoint": ["identifier", "secret"]}
-#: Characters from the start of a span to that of its complement.
+#: Characters between a span and its complement.
 REACH = 300
 #: Bits per character of a mixed string.
 ENTROPY = 3.5
@@ -118,8 +118,12 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     role = F.element_at(F.lit([ROLES[k] for k in KINDS]), F.col("s.kind") + 1)
     spans = (found.filter(F.exists("found", lambda s: s["kind"] >= len(BASE)) & (F.size("found") > 1))
              .select("row", F.explode("found").alias("s")).select("row", "s", F.col("s.scope").alias("scope"), F.col("s.start").alias("start"), role.alias("role")))
-    near = Window.partitionBy("row", "scope").orderBy("start").rangeBetween(-reach, reach)
-    has = {r: F.max(F.col("role") == r).over(near).alias(f"has_{r}") for r in ("identifier", "secret", "endpoint")}
+    # running values in both directions: the furthest end of what starts before, the next start
+    before, after = (Window.partitionBy("row", "scope").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
+    far = lambda r: F.max(F.when(F.col("role") == r, F.col("s.end"))).over(before)
+    next_ = lambda r: F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
+    has = {r: (F.coalesce(far(r) >= F.col("start") - reach, F.lit(False)) | F.coalesce(next_(r) <= F.col("s.end") + reach, F.lit(False))).alias(f"has_{r}")
+           for r in ("identifier", "secret", "endpoint")}
     seen = spans.select("row", "s", *has.values())
     met = F.lit(False)
     for kind, needs in NEEDS.items():

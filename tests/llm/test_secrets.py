@@ -54,3 +54,10 @@ def test_repeated_and_null_identifiers(spark):
     found = secret_spans(docs).select("id", span_text("spans").alias("s")).collect()
     assert len(found) == 4 and len({r["s"] for r in found if r["id"] == 1}) == 1 and [r["s"] for r in found if r["id"] is None] == ["", ""]
     assert secret_spans(empty(spark)).collect() == []
+
+
+def test_a_complement_behind_a_long_span(spark):
+    long = WEAK_KEY * 42
+    texts = [f"{long} user=bob", f"user=bob {long}", f"{long}{' z' * 160} user=bob", f"user=bob {long} https://h.example/p"]
+    found = {r["id"]: r["s"] for r in secret_spans(table(spark, texts)).select("id", span_text("spans").alias("s")).collect()}
+    assert [len(found[k].split(",")) if found[k] else 0 for k in range(4)] == [2, 2, 0, 2]
