@@ -77,9 +77,16 @@ def _bucket(n: Column) -> Column:
     return out.otherwise("26+")
 
 
+def is_title(l: Column) -> Column:
+    """Every run of letters starts with its only capital, and there is one."""
+    return l.rlike(r"\p{L}") & ~l.rlike(r"(?<!\p{L})\p{Ll}") & ~l.rlike(r"(?<=\p{L})[\p{Lu}\p{Lt}]") & l.rlike(r"[\p{Lu}\p{Lt}]")
+
+
 def shape(l: Column) -> Column:
     """Names of the facts that hold for a line."""
-    facts = {**{n: f(l) for n, f in G.PREDICATES.items()}, "qtylead": l.rlike(P.QUANTITY_LEAD), "unit": l.rlike("(?iU)(?<!\\w)" + W.UNIT_PATTERN + "(?!\\w)"),
+    opened, closed = (F.length(l) - F.length(F.replace(l, F.lit(b), F.lit(""))) for b in "()")
+    facts = {**{n: f(l) for n, f in G.PREDICATES.items()}, "title_case": is_title(l), "verb": G.first_word(l).isin(P.STEP_VERBS),
+             "steps_end": l.rlike(P.STEPS_END), "open_paren": opened > closed, "qtylead": l.rlike(P.QUANTITY_LEAD), "unit": l.rlike("(?iU)(?<!\\w)" + W.UNIT_PATTERN + "(?!\\w)"),
              "fraction": l.rlike(r"[¼½¾⅓⅔⅛⅜⅝⅞]|\d+/\d+"), "period": l.rlike(P.SENTENCE_END), "colon": F.rtrim(l).endswith(":"), "upper": G.is_upper(l),
              "lower_start": l.rlike(r"^\p{Ll}"), "bare_number": l.rlike(P.BARE_NUMBER), "byline": l.rlike(P.BYLINE), "numbered": l.rlike(P.NUMBERED_STEP),
              "ing_tail": l.rlike(W.INGREDIENT_TAIL), "url": l.rlike(r"(?i)https?://|www\.|\.com\b"), "price": l.rlike(r"\$\d")}
@@ -120,6 +127,12 @@ def line_features(lines: DataFrame) -> DataFrame:
     return d.select("doc_id", "i", F.concat(words, F.coalesce(pairs, F.array().cast("array<struct<name:string,value:double>>")), triples, flags, shapes).alias("feats"))
 
 
+def feature_cells(features: DataFrame) -> DataFrame:
+    """(doc_id, i, name, value). The outer form: of the inner one the optimizer makes a filter on the array's size, moves it below
+    the features and there folds the whole line again for each letter triple."""
+    return features.select("doc_id", "i", F.inline_outer("feats")).filter("name IS NOT NULL")
+
+
 def _prefixer(p: str):
     def add(x):
         return F.concat(F.lit(p), x)

@@ -47,7 +47,71 @@ def _(lib):
     step = lambda t: F.struct(F.lit("HowToStep").alias("@type"), t.alias("text"))
     sec = F.to_json(F.struct(F.concat(F.lit("Part "), F.col("turn").cast("string"), F.lit(":")).alias("name"), F.array(step(F.col("role")), step(F.lit("Stir."))).alias("itemListElement")))
     v = F.parse_json(F.concat(F.lit("["), sec, F.lit(',"Serve."]')))
-    return lib.table("conversations").select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", F.array_join(PG.steps_of(F.col("v")), "|").alias("steps"))
+    return PG.flat_steps(lib.table("conversations").select("conv_id", "turn", v.alias("v")), "v")[0].select("conv_id", "turn", F.array_join("steps", "|").alias("steps"))
+
+
+def nested_turns(lib):
+    """(conv_id, json): a conversation as instructions; each turn is a section inside the section of the turn before it, the first one
+    inside as many lists as the number modulo 40, and every fifth one holds a single object in place of a list."""
+    c = lib.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text")), asc=False).alias("ts"))
+    step = F.transform("ts", lambda t: F.struct(t["turn"].alias("turn"), F.to_json(F.struct(F.lit("HowToStep").alias("@type"), t["text"].alias("text"))).alias("step"),
+                                                F.to_json(F.struct(F.concat(t["role"], F.lit(" "), t["turn"].cast("string"), F.lit(":")).alias("n"))).alias("head")))
+
+    def around(acc, t):
+        inner = F.when(acc == "", F.when(t["turn"] % 5 == 0, t["step"]).otherwise(F.concat(F.lit("["), t["step"], F.lit("]")))).otherwise(
+            F.concat(F.lit("["), t["step"], F.lit(","), acc, F.lit("]")))
+        return F.concat(F.lit('{"@type":["HowToSection"],"name":'), F.expr("''"), F.regexp_replace(t["head"], r'^\{"n":(.*)\}$', "$1"), F.lit(',"itemListElement":'), inner, F.lit("}"))
+    k = (F.col("conv_id") % 40).cast("int")
+    return c.withColumn("steps", step).select("conv_id", F.concat(F.repeat(F.lit("["), k), F.aggregate("steps", F.lit(""), around), F.repeat(F.lit("]"), k)).alias("json"))
+
+
+_NESTED = r"""
+WITH t AS (SELECT conv_id, turn, [role || ' ' || turn || ':'] || list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM conversations)"""
+
+
+@plan("src5_deep_sections", _NESTED + " SELECT conv_id, array_to_string(flatten(list(lines ORDER BY turn)), '|') AS steps FROM t GROUP BY conv_id")
+def _(lib):
+    made, _bad = PG.flat_steps(nested_turns(lib).select("conv_id", F.try_parse_json("json").alias("v")), "v")
+    return made.select("conv_id", F.array_join("steps", "|").alias("steps"))
+
+
+@plan("src5_too_deep", """
+SELECT conv_id, 'lists or sections inside each other beyond 30' AS problem FROM conversations GROUP BY conv_id
+HAVING conv_id % 40 + count(*) > 30""")
+def _(lib):
+    return PG.flat_steps(nested_turns(lib).select("conv_id", F.try_parse_json("json").alias("v")), "v", most_depth=30)[1]
+
+
+def nested_pages(lib):
+    """Pages with one recipe of the page's title, inside as many lists, graphs and main entities as the number modulo 25."""
+    k = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    recipe = F.to_json(F.struct(F.lit("Recipe").alias("@type"), F.concat(title, F.lit(" "), k.cast("string")).alias("name"), F.array(F.concat(k.cast("string"), F.lit(" g salt"))).alias("recipeIngredient"),
+                                F.array(F.array(F.col("url"))).alias("recipeInstructions")))
+
+    def around(acc, i):
+        return (F.when(i % 3 == 0, F.concat(F.lit("["), acc, F.lit("]"))).when(i % 3 == 1, F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), acc, F.lit("]}")))
+                .otherwise(F.concat(F.lit('{"@type":"WebPage","mainEntity":'), acc, F.lit("}"))))
+    depth = (k % 25).cast("int")
+    nested = F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(24)), F.lit(1), depth), recipe, around)
+    data = F.concat(F.lit('<script type="application/ld+json">'), F.when(k % 50 == 7, F.lit('{"@type":"Recipe", broken')).otherwise(nested), F.lit("</script>"))
+    return lib.pages().select("page_id", F.concat("html", data).alias("html"))
+
+
+_PAGE_LINES = r"""
+WITH p AS (SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') || ' ' || page_id, '\s+', ' ', 'g')) AS title, url FROM pages)"""
+
+
+@plan("src2_nested_objects", _PAGE_LINES + " SELECT page_id, title, page_id || ' g salt' AS ingredients, url AS steps FROM p WHERE page_id % 50 <> 7")
+def _(lib):
+    return PG.from_structured(nested_pages(lib)).select("page_id", "title", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("steps", "|").alias("steps"))
+
+
+@plan("src2_problems", """
+SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'not readable as JSON' ELSE 'lists or graphs inside each other beyond 20' END AS problem FROM pages
+WHERE page_id % 50 = 7 OR page_id % 25 > 20""")
+def _(lib):
+    return PG.structured(nested_pages(lib), most_depth=20)[1].distinct()
 
 
 @plan("src6_schema_org_import", """

@@ -75,7 +75,7 @@ SELECT tag, count(DISTINCT doc_id) AS n FROM t GROUP BY tag HAVING count(DISTINC
 def _(lib):
     d = lib.documents()
     t = d.select("doc_id", F.explode(F.array("lang", "source", F.concat_ws("/", "lang", "source"))).alias("tag"))
-    return M.eligible_tags(t, d.agg(F.count(F.lit(1))).scalar(), t.select("tag").distinct())
+    return M.eligible_tags(t, d.agg(F.count(F.lit(1))).scalar(), t.select("tag").distinct(), W.MAX_TAG_MODELS)
 
 
 @plan("agg14_content_accuracy", _ALIGN + """,
@@ -90,7 +90,7 @@ def _(lib):
 @plan("ml1_line_features")
 def _(lib):
     d = doclines(lib).select("doc_id", "i", "line", F.when(F.col("i") % 3 == 0, "ingredient").otherwise("step").alias("rule"))
-    f = M.line_features(d).select("doc_id", "i", F.inline("feats"))
+    f = M.feature_cells(M.line_features(d))
     return f.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
@@ -128,7 +128,7 @@ def _(lib):
     labels, _ = aligned(lib)
     lab = F.array_position(F.array(*map(F.lit, M.LABELS)), F.col("label")).cast("double") - 1
     d = labels.withColumn("rule", F.when(F.col("i") % 3 == 0, "ingredient").otherwise("step"))
-    cells = M.line_features(d).select("doc_id", "i", F.inline("feats"))
+    cells = M.feature_cells(M.line_features(d))
     rows = cut_lineage(M.vectors(M.hashed(cells, ["doc_id", "i"]), ["doc_id", "i"]).join(labels.select("doc_id", "i", lab.alias("label_index")), ["doc_id", "i"]).withColumn("weight", F.lit(1.0)))
     model = M.softmax(rows, max_iter=5)
     scored = model.transform(rows)

@@ -18,8 +18,12 @@ def json_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_schema_org(docs: DataFrame, key: str, column: str, now: Column, ext: str = EXT) -> DataFrame:
-    """Every Recipe object of the JSON texts as a record; a library's own export gives
-    its fields back from the extension object."""
+    return schema_org(docs, key, column, now, ext)[0]
+
+
+def schema_org(docs: DataFrame, key: str, column: str, now: Column, ext: str = EXT, most_depth: int = PG.MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(records, problems): every Recipe object of the JSON texts as a record; a library's own export gives
+    its fields back from the extension object. Problems are (key, problem): what could not be read."""
     v = F.col("v")
     own = lambda f, kind="string": PG.get(v, f"$['{ext}'].{f}", kind)
     has_own = PG.get(v, f"$['{ext}'].version", "string").isNotNull()
@@ -28,15 +32,19 @@ def from_schema_org(docs: DataFrame, key: str, column: str, now: Column, ext: st
     full_text = lambda c: F.nullif(F.trim(c), F.lit(""))
     words = F.flatten(F.array_compact(F.array(lines("$.recipeCategory"), lines("$.recipeCuisine"), F.coalesce(PG.get(v, "$.keywords", "array<string>"), F.split(PG.get(v, "$.keywords", "string"), ",")))))
     single = PG.get(v, "$.aggregateRating.ratingCount", "string").isNull()
-    return PG.recipe_objects(docs, key, column).select(
+    found, bad = PG.recipe_objects(docs, key, column, most_depth)
+    records = found.select(
         key, F.coalesce(full_text(PG.get(v, "$.name", "string")), F.lit("Untitled Recipe")).alias("title"),
         full(F.coalesce(lines("$.recipeIngredient"), lines("$.ingredients"), F.array().cast("array<string>"))).alias("ingredients"),
-        PG.steps_of(PG.get(v, "$.recipeInstructions", "variant")).alias("steps"), full_text(PG.text_at(v, "$.recipeYield")).alias("servings"),
+        PG.get(v, "$.recipeInstructions", "variant").alias("_steps"), full_text(PG.text_at(v, "$.recipeYield")).alias("servings"),
         *[full_text(F.coalesce(own(c), PG.get(v, p, "string"))).alias(c) for c, p in (("prep_time", "$.prepTime"), ("cook_time", "$.cookTime"), ("total_time", "$.totalTime"))],
         full_text(PG.get(v, "$.url", "string")).alias("source_url"), E.import_date(PG.get(v, "$.dateCreated", "string"), now).alias("created_at"),
         F.coalesce(own("favorite", "boolean"), F.lit(False)).alias("favorite"), F.when(has_own, full_text(own("notes"))).alias("notes"),
         F.when(has_own, E.rating(own("tastiness_rating"))).when(single, E.rating(PG.get(v, "$.aggregateRating.ratingValue", "string"))).alias("tastiness_rating"),
         F.when(~has_own, F.array_distinct(full(words))).alias("labels"))
+    made, deep = PG.flat_steps(records, "_steps", "steps", most_depth)
+    order = ["steps" if c == "_steps" else c for c in records.columns]
+    return made.select(*order), bad.select(key, "problem").unionByName(deep.select(key, "problem"))
 
 
 def read_foreign(raw: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions import patterns as P, text as T
+from quern.session import cut_lineage
 
 LD_BLOCK = r'(?is)<script\b[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script\s*>'
-#: Levels of lists and sections that are opened.
-DEPTH = 6
+#: Lists and objects inside each other beyond this many are reported, not opened.
+MOST_DEPTH = 200
+#: Levels that a round opens: pages seldom have more.
+AT_ONCE = 4
 
 
 def get(v: Column, path: str, kind: str) -> Column:
@@ -41,30 +44,31 @@ _ITEM = "array<struct<v:variant,line:string,level:int>>"
 
 def _opened(x: Column) -> Column:
     """One item of a step list, opened: a list gives its members, a section its heading and
-    members one level deeper, anything else its lines."""
+    members one level deeper, anything else its text. Texts are taken as they are and cleaned at the end."""
     v = x["v"]
     item = lambda value, line, at: F.struct(value.alias("v"), line.alias("line"), at.cast("int").alias("level"))
     no_line, no_value = F.lit(None).cast("string"), F.lit(None).cast("variant")
-    is_list, is_object = as_list(v).isNotNull(), F.schema_of_variant(v).startswith("OBJECT")
-    text, parts = get(v, "$.text", "string"), as_list(v, "$.itemListElement")
+    text, inner = get(v, "$.text", "string"), get(v, "$.itemListElement", "variant")
+    parts = F.coalesce(as_list(inner), F.when(get(inner, "$", "map<string,variant>").isNotNull(), F.array(inner)))
+    is_object = get(v, "$", "map<string,variant>").isNotNull()
     section = is_object & F.coalesce(F.array_contains(kinds(v), "HowToSection") | (parts.isNotNull() & text.isNull()), F.lit(False))
-    title = F.rtrim(clean_text(get(v, "$.name", "string")), F.lit(":"))
-    heading = F.when(title.isNotNull(), F.array(item(no_value, F.concat(title, F.lit(":")), -(x["level"] + 1)))).otherwise(F.array().cast(_ITEM))
-    members = F.transform(F.coalesce(F.when(is_list, as_list(v)).otherwise(parts), F.array().cast("array<variant>")),
-                          lambda m: item(m, no_line, x["level"] + F.when(section, 1).otherwise(0)))
-    plain = text_lines(F.when(is_object, F.coalesce(text, get(v, "$.name", "string"))).otherwise(get(v, "$", "string")))
-    lines = F.transform(F.coalesce(plain, F.array().cast("array<string>")), lambda l: item(no_value, l, x["level"]))
-    return F.when(v.isNull(), F.when(x["line"].isNotNull(), F.array(x)).otherwise(F.array().cast(_ITEM))).when(section, F.concat(heading, members)).when(
-        is_list, members).otherwise(lines)
-
-
-def steps_of(v: Column, depth: int = DEPTH) -> Column:
-    """Flat step texts of an instructions value; a section gives "Name:" and its steps, one
-    without steps nothing. Opened round by round on one list of items, so the expression grows with
-    ``depth`` only; a heading at level n is kept as level -n."""
-    items = F.array(F.struct(v.alias("v"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("level"))).cast(_ITEM)
-    for _ in range(depth):
-        items = F.flatten(F.transform(items, _opened))
+    heading = F.array(item(no_value, get(v, "$.name", "string"), -(x["level"] + 1)))
+    members = lambda of, deeper: F.transform(F.coalesce(of, F.array().cast("array<variant>")), lambda m: item(m, no_line, x["level"] + deeper))
+    plain = F.array(item(no_value, F.when(is_object, F.coalesce(text, get(v, "$.name", "string"))).otherwise(get(v, "$", "string")), x["level"]))
+    return F.when(v.isNull(), F.array(x)).when(section, F.concat(heading, members(parts, 1))).when(as_list(v).isNotNull(), members(as_list(v), 0)).otherwise(plain)
+
+
+def _cleaned(items: Column) -> Column:
+    """(line, level) of opened items: headings as "Name:", texts line by line, nothing of empty ones."""
+    line = lambda text, level: F.struct(text.alias("line"), level.alias("level"))
+    split = F.flatten(F.transform(F.filter(items, lambda x: x["line"].isNotNull()), lambda x: F.transform(
+        F.when(x["level"] < 0, F.array(x["line"])).otherwise(F.split(x["line"], "\n")), lambda l: line(l, x["level"]))))
+    clean = F.filter(F.transform(split, lambda x: line(clean_text(x["line"]), x["level"])), lambda x: x["line"].isNotNull())
+    return F.transform(clean, lambda x: line(F.when(x["level"] < 0, F.concat(F.rtrim(x["line"], F.lit(":")), F.lit(":"))).otherwise(x["line"]), x["level"]))
+
+
+def _in_order(items: Column) -> Column:
+    """Lines of cleaned items; a heading at level n is kept as level -n and stays only with a step below it."""
     start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(0).alias("below"))
 
     def keep(acc, x):
@@ -73,35 +77,85 @@ def steps_of(v: Column, depth: int = DEPTH) -> Column:
         stays = (x["level"] >= 0) | (acc["below"] >= level)
         below = F.when(x["level"] >= 0, level).otherwise(level - 1)
         return F.when(stays, F.struct(F.array_append(acc["lines"], x["line"]).alias("lines"), below.alias("below"))).otherwise(acc)
-    full = F.filter(items, lambda x: x["line"].isNotNull())
-    return F.reverse(F.aggregate(F.reverse(full), start, keep)["lines"])
-
-
-def recipe_objects(json: DataFrame, key: str, column: str, rounds: int = 12) -> DataFrame:
-    """(key, ord, v): the Recipe objects of JSON texts: lists, @graph and main entities
-    opened round by round, at most ``rounds`` deep."""
-    is_recipe = F.array_contains(kinds(F.col("v")), "Recipe")
-    d = json.select(key, F.array().cast("array<int>").alias("ord"), F.try_parse_json(column).alias("v"))
-    for _ in range(rounds):
-        v = F.col("v")
-        main = F.array_compact(F.array(get(v, "$.mainEntity", "variant"), get(v, "$.mainEntityOfPage", "variant")))
-        graph = F.coalesce(as_list(v, "$['@graph']"), F.array().cast("array<variant>"))
-        opened = F.when(is_recipe, F.array(v)).when(as_list(v).isNotNull(), as_list(v)).otherwise(F.concat(graph, main))
-        d = d.select(key, "ord", F.posexplode(opened).alias("p", "v")).select(key, F.array_append("ord", F.col("p")).alias("ord"), "v")
-    return d.filter(is_recipe)
-
-
-def from_structured(pages: DataFrame) -> DataFrame:
-    """First recipe of the structured data per page: (page_id, title, ingredients, steps, servings, prep_time, cook_time, total_time)."""
+    return F.reverse(F.aggregate(F.reverse(items), start, keep)["lines"])
+
+
+def flat_steps(rows: DataFrame, column: str, into: str = "steps", most_depth: int = MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``into`` in place of the variant ``column``, problems): the flat step texts of instructions. A
+    section gives "Name:" and its steps, one without steps nothing; null gives an empty list.
+
+    Rows whose items are not all texts yet form the frontier: each round opens a few levels inside
+    the row and takes the finished rows out, until no row is left. There is no shuffle, and the plan of a
+    round does not grow with the depth. What lies deeper than ``most_depth`` lists and sections (one with its own list) is
+    left out and its row is also in the problems, with a column ``problem``."""
+    others = [c for c in rows.columns if c != column]
+    first = F.array(F.struct(F.col(column).alias("v"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("level"))).cast(_ITEM)
+    frontier, done, opened = rows.select(*others, first.alias("_items")), [], 0
+    step = [F.col("_items")]
+    for _ in range(AT_ONCE):
+        step.append(F.flatten(F.transform(step[-1], _opened)))
+    is_open = F.exists("_items", lambda x: x["v"].isNotNull()).alias("_open")
+    while opened <= most_depth:
+        n = min(AT_ONCE, most_depth + 1 - opened)
+        after = cut_lineage(frontier.select(*others, step[n].alias("_items")).select("*", is_open))
+        opened += n
+        done.append(after.filter("NOT _open"))
+        frontier = after.filter("_open").drop("_open")
+        if frontier.isEmpty():
+            break
+    left = frontier.select(*others, F.lit(f"lists or sections inside each other beyond {most_depth}").alias("problem"))
+    every = done[0]
+    for d in [*done[1:], frontier.withColumn("_open", F.lit(True))]:
+        every = every.unionByName(d)
+    # the cleaned items are a column of their own: inside the fold the expression would run per line
+    return every.select(*others, _cleaned(F.col("_items")).alias("_items")).select(*others, _in_order(F.col("_items")).alias(into)), left
+
+
+def recipe_objects(json: DataFrame, key: str, column: str, most_depth: int = MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """((key, ord, v), problems): the Recipe objects of JSON texts, found in lists, @graph and main entities.
+
+    The frontier is the values that are no recipes and may hold some; each round opens them one level, with the
+    path as order key, until none is left. Problems are (key, ord, problem): texts that are no JSON, and values
+    deeper than ``most_depth``."""
+    v = F.col("v")
+    is_recipe = F.coalesce(F.array_contains(kinds(v), "Recipe"), F.lit(False))
+    main = F.array_compact(F.array(get(v, "$.mainEntity", "variant"), get(v, "$.mainEntityOfPage", "variant")))
+    graph = get(v, "$['@graph']", "variant")
+    members = F.coalesce(as_list(v), F.concat(F.coalesce(as_list(graph), F.array_compact(F.array(graph))), main))
+    parsed = cut_lineage(json.select(key, F.array().cast("array<int>").alias("ord"), F.try_parse_json(column).alias("v"), F.col(column).isNull().alias("_none")))
+    bad = parsed.filter("v IS NULL AND NOT _none").select(key, "ord", F.lit("not readable as JSON").alias("problem"))
+    frontier, found = parsed.filter("v IS NOT NULL").drop("_none").withColumn("hit", is_recipe), []
+    for _ in range(most_depth + 1):
+        found.append(frontier.filter("hit").drop("hit"))
+        frontier = cut_lineage(frontier.filter("NOT hit").select(key, "ord", F.posexplode(members).alias("p", "v"))
+                               .select(key, F.array_append("ord", F.col("p")).alias("ord"), "v").withColumn("hit", is_recipe))
+        if frontier.isEmpty():
+            break
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every, bad.unionByName(frontier.select(key, "ord", F.lit(f"lists or graphs inside each other beyond {most_depth}").alias("problem")))
+
+
+def structured(pages: DataFrame, most_depth: int = MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(records, problems): the first recipe of the structured data per page (page_id, title, ingredients, steps, servings,
+    prep_time, cook_time, total_time), and (page_id, problem) of what could not be read."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD_BLOCK), F.lit(1))).alias("b", "body"))
-    found = recipe_objects(blocks.select(F.struct("page_id", "b").alias("k"), "body"), "k", "body")
+    found, bad = recipe_objects(blocks.select(F.struct("page_id", "b").alias("k"), "body"), "k", "body", most_depth)
+    first = found.select("k.page_id", F.struct("k.b", "ord").alias("at"), "v").groupBy("page_id").agg(F.min_by("v", "at").alias("v"))
     v = F.col("v")
     items = F.coalesce(get(v, "$.recipeIngredient", "array<string>"), get(v, "$.ingredients", "array<string>"), F.array_compact(F.array(get(v, "$.recipeIngredient", "string"))))
-    r = found.select("k.page_id", F.struct("k.b", "ord").alias("at"), F.struct(
-        F.coalesce(text_at(v, "$.name"), F.lit("Untitled Recipe")).alias("title"), F.array_compact(F.transform(items, clean_text)).alias("ingredients"),
-        steps_of(get(v, "$.recipeInstructions", "variant")).alias("steps"), text_at(v, "$.recipeYield").alias("servings"),
-        text_at(v, "$.prepTime").alias("prep_time"), text_at(v, "$.cookTime").alias("cook_time"), text_at(v, "$.totalTime").alias("total_time")).alias("r"))
-    return r.groupBy("page_id").agg(F.min_by("r", "at").alias("r")).select("page_id", "r.*")
+    r = first.select(
+        "page_id", F.coalesce(text_at(v, "$.name"), F.lit("Untitled Recipe")).alias("title"), F.array_compact(F.transform(items, clean_text)).alias("ingredients"),
+        get(v, "$.recipeInstructions", "variant").alias("_steps"), text_at(v, "$.recipeYield").alias("servings"),
+        text_at(v, "$.prepTime").alias("prep_time"), text_at(v, "$.cookTime").alias("cook_time"), text_at(v, "$.totalTime").alias("total_time"))
+    records_, deep = flat_steps(r, "_steps", "steps", most_depth)
+    return (records_.select("page_id", "title", "ingredients", "steps", "servings", "prep_time", "cook_time", "total_time"),
+            bad.select("k.page_id", "problem").unionByName(deep.select("page_id", "problem")))
+
+
+def from_structured(pages: DataFrame) -> DataFrame:
+    return structured(pages)[0]
 
 
 def from_headings(pages: DataFrame) -> DataFrame:

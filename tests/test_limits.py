@@ -67,8 +67,35 @@ def test_generations(spark, tmp_path):
 
 def test_sections_inside_sections(spark):
     section = lambda name, *parts: {"@type": "HowToSection", "name": name, "itemListElement": list(parts)}
+
+    def nested(n):
+        out = "deep"
+        for k in reversed(range(n)):
+            out = section(f"s{k}", out)
+        return out
     cases = [section("Dough:", section("Inner", "mix", {"text": "rest"}), "bake"), [[["q"]]], [section("E"), section("F", section("G")), "end"],
-             section("a", section("b", section("c", section("d", "deep")))), 7, None]
-    rows = spark.createDataFrame([(n, json.dumps(c)) for n, c in enumerate(cases)], "n int, j string")
-    found = {r["n"]: r["s"] for r in rows.select("n", pages.steps_of(F.try_parse_json("j")).alias("s")).collect()}
-    assert found == {0: ["Dough:", "Inner:", "mix", "rest", "bake"], 1: ["q"], 2: ["end"], 3: ["a:", "b:", "c:", "d:", "deep"], 4: ["7"], 5: []}
+             section("a", section("b", section("c", section("d", "deep")))), 7, None, nested(5), nested(9), nested(30),
+             {"@type": "HowToSection", "name": "one", "itemListElement": {"@type": "HowToStep", "text": "alone"}}, "a\n<b>b</b>\n\n"]
+    rows = spark.createDataFrame([(n, json.dumps(c)) for n, c in enumerate(cases)], "n int, j string").select("n", F.try_parse_json("j").alias("v"))
+    made, problems = pages.flat_steps(rows, "v")
+    found = {r["n"]: r["steps"] for r in made.collect()}
+    deep = lambda n: [*(f"s{k}:" for k in range(n)), "deep"]
+    assert found == {0: ["Dough:", "Inner:", "mix", "rest", "bake"], 1: ["q"], 2: ["end"], 3: ["a:", "b:", "c:", "d:", "deep"], 4: ["7"], 5: [],
+                     6: deep(5), 7: deep(9), 8: deep(30), 9: ["one:", "alone"], 10: ["a", "b"]}
+    assert problems.count() == 0
+    made, problems = pages.flat_steps(rows, "v", most_depth=5)
+    assert [r["n"] for r in problems.collect()] == [7, 8] and made.count() == len(cases)
+
+
+def test_recipes_inside_lists_and_graphs(spark):
+    recipe = {"@type": ["Thing", "Recipe"], "name": "x"}
+    deep = recipe
+    for _ in range(40):
+        deep = [{"@graph": [deep]}]
+    cases = [recipe, [recipe, recipe], {"@graph": recipe}, {"mainEntity": [recipe]}, deep, {"a": 1}, [], "text"]
+    rows = spark.createDataFrame([*((n, json.dumps(c)) for n, c in enumerate(cases)), (90, "{broken"), (91, None)], "k int, j string")
+    found, problems = pages.recipe_objects(rows, "k", "j")
+    assert sorted(r["k"] for r in found.collect()) == [0, 1, 1, 2, 3, 4]
+    assert [(r["k"], r["problem"]) for r in problems.collect()] == [(90, "not readable as JSON")]
+    found, problems = pages.recipe_objects(rows, "k", "j", most_depth=20)
+    assert {r["k"] for r in problems.collect()} == {4, 90} and found.count() == 5
