@@ -7,9 +7,10 @@
    has, too, make up T of its weight; others are done.
 3. Improved consistent weighted sampling draws one shingle per hash with a chance
    in proportion to the minimum of the weights; bands of these are bucket keys.
-4. In each bucket every node is compared with a pivot by weighted Jaccard similarity, and
-   what is still in another component with further pivots, until no pair in different
-   components is untested. No bucket is listed as pairs and none is gathered in a task.
+4. In each bucket every node is compared with a pivot by weighted Jaccard similarity. A bucket that
+   this leaves in several components is cut into blocks of a few hundred nodes, and two blocks at a time
+   meet in a task, which compares what isn't connected yet and answers with links that connect it. So
+   no bucket is listed as pairs and none is gathered, whatever its size.
 """
 from __future__ import annotations
 
@@ -31,8 +32,10 @@ THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8 ** 4) ** 20 > 0.9999.
 BANDS, ROWS = 20, 4
 BLOCK_BYTES = 4_000_000
-#: A bucket takes one pivot, then this many at once, then this many times more in each round.
-GROWTH = 16
+#: Nodes of a block, two of which meet in a task.
+BLOCK_NODES = 256
+#: A pair is compared if so many of its 80 samples agree; at a similarity of 0.8 fewer do with a chance of 1e-6.
+LEAST_AGREEING = 46
 
 
 @lru_cache(1)
@@ -205,9 +208,9 @@ def _owned(nodes: list[bytes | None], answers: dict[int, bytes], buckets: int) -
 
 
 def weighted_nodes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, node, keys, weights, bands), written to the shared folder. A node is the digest of
+    """(id, node, keys, weights, bands, samples), written to the shared folder. A node is the digest of
     a text's words, null without words. Only one document of a node, and only if
-    the node can have a partner, has the last three columns."""
+    the node can have a partner, has the last four columns."""
     spark, kind, buckets = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), 2 * shuffle_partitions(docs)
     stored = Stored(packed(docs, _make, "sizes array<bigint>, data binary, nodes array<binary>", id_col, text_col, BLOCK_BYTES))
     total = stored.table.select(F.explode("nodes").alias("node")).agg(F.count_distinct("node")).first()[0]
@@ -227,21 +230,22 @@ def weighted_nodes(docs: DataFrame, id_col: str, text_col: str, threshold: float
                 shared = np.bincount(block.text, weights * (df > 1), n)
                 likely = (shared >= threshold * mass * (1 - 1e-9)) & (mass > 0)
                 cut = np.searchsorted(block.text, np.arange(n + 1))
-                vectors = [(None, None, None)] * len(block.nodes)
+                vectors = [(None, None, None, None)] * len(block.nodes)
                 for d in np.flatnonzero(likely).tolist():
                     keys, w = block.keys[cut[d]:cut[d + 1]], weights[cut[d]:cut[d + 1]]
-                    bands = band_keys(weighted_samples(keys, w, BANDS * ROWS), BANDS)
+                    samples = weighted_samples(keys, w, BANDS * ROWS)
+                    bands = band_keys(samples, BANDS)
                     short = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     order = np.argsort(short, kind="stable")
-                    vectors[block.docs[d]] = (short[order].tobytes(), w[order].astype(np.float32).tobytes(), bands.tolist())
+                    vectors[block.docs[d]] = (short[order].tobytes(), w[order].astype(np.float32).tobytes(), bands.tolist(), mixed(samples).astype(np.uint16).tobytes())
                 columns = list(zip(*vectors, strict=True))
                 yield pa.record_batch([batch.column("ids")[k].values, pa.array(block.nodes, pa.binary()), pa.array(columns[0], pa.binary()),
-                                       pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))],
-                                      names=["id", "node", "keys", "weights", "bands"])
+                                       pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.binary())],
+                                      names=["id", "node", "keys", "weights", "bands", "samples"])
 
     path = new_path(spark, "nodes")
     made = blocks.join(told, "block", "left").select("ids", "sizes", "data", "nodes", "owners", "answers").mapInArrow(
-        finish, f"id {kind}, node binary, keys binary, weights binary, bands array<bigint>")
+        finish, f"id {kind}, node binary, keys binary, weights binary, bands array<bigint>, samples binary")
     made.write.option("compression", "zstd").parquet(path)
     stored.drop()
     return spark.read.schema(made.schema).parquet(path)
@@ -292,15 +296,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def _pivots(members: DataFrame, least: int, most: int) -> DataFrame:
-    """(key, pivot): nodes number ``least`` + 1 to ``most`` of each bucket, in their order,
-    kept first in parts of a bucket and then of all parts."""
-    part = F.pmod(F.xxhash64("node"), F.lit(64))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("node"))
-    few = members.select("key", "node", part.alias("part")).withColumn("r", rank("key", "part")).filter(F.col("r") <= most)
-    return few.withColumn("r", rank("key")).filter((F.col("r") > least) & (F.col("r") <= most)).select("key", F.col("node").alias("pivot"))
-
-
 def _near_labels(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links lead to in two steps. Nodes of one label are connected."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -309,31 +304,101 @@ def _near_labels(links: DataFrame) -> DataFrame:
         "node", F.least("node", "m").alias("label"))
 
 
+class _Members:
+    """The nodes of one block of a bucket."""
+
+    def __init__(self, rows: list[dict]):
+        self.nodes = [r["node"] for r in rows]
+        self.labels = [r["label"] for r in rows]
+        self.band = rows[0]["band"] if rows else 0
+        self.bands = np.array([r["bands"] for r in rows], np.int64).reshape(len(rows), -1)
+        self.samples = np.array([np.frombuffer(r["samples"], np.uint16) for r in rows]).reshape(len(rows), -1)
+        self.keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+        self.weights = [np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in rows]
+        self.mass = np.array([w.sum() for w in self.weights])
+
+
+def _similarities(keys: np.ndarray, weights: np.ndarray, many: _Members, which: list[int]) -> np.ndarray:
+    """Weighted Jaccard similarity of one set with each of several."""
+    sizes = [len(many.keys[j]) for j in which]
+    every, w = np.concatenate([many.keys[j] for j in which]), np.concatenate([many.weights[j] for j in which])
+    at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+    low = np.where(keys[at] == every, np.minimum(weights[at], w), 0.0)
+    low = np.add.reduceat(low, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return low / (weights.sum() + many.mass[which] - low)
+
+
+def _connecting(a: _Members, b: _Members, same: bool, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of a bucket (or within one) that connect all that its similar pairs connect. Pairs that share an
+    earlier band, too, are left to that band's bucket; those of one label are connected already."""
+    up: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for i, (node, label) in enumerate(zip(a.nodes, a.labels, strict=True)):
+        agree = (b.samples == a.samples[i]).sum(axis=1) >= LEAST_AGREEING
+        if same:
+            agree[:i + 1] = False
+        if a.band:
+            agree &= ~(b.bands[:, :a.band] == a.bands[i, :a.band]).any(axis=1)
+        which = [j for j in np.flatnonzero(agree).tolist() if find(b.labels[j]) != find(label)]
+        if not which:
+            continue
+        for j, s in zip(which, _similarities(a.keys[i], a.weights[i], b, which).tolist(), strict=True):
+            if s >= threshold - 1e-6 and find(b.labels[j]) != find(label):
+                up[find(b.labels[j])] = find(label)
+                out.append((node, b.nodes[j]))
+    return out
+
+
+def _block_links(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links within the buckets of ``members`` (key, band, n, node, label). A row of a node for each block that its own meets."""
+    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    full = members.join(vectors.select("node", "keys", "weights", "bands", "samples"), "node").withColumn("own", own)
+    rows = (full.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            .select("key", "i", "j", "own", "band", "label", "node", "keys", "weights", "bands", "samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def answer() -> pa.RecordBatch | None:
+            same = at[1] == at[2]
+            first = _Members(held[0])
+            found = _connecting(first, first if same else _Members(held[1]), same, threshold) if held[0] and (same or held[1]) else []
+            return pa.record_batch([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"]) if found else None
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["key"], row["i"], row["j"]) != at:
+                    if at is not None and (found := answer()) is not None:
+                        yield found
+                    at, held = (row["key"], row["i"], row["j"]), ([], [])
+                held[row["own"] != row["i"]].append(row)
+        if at is not None and (found := answer()) is not None:
+            yield found
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
 def _links(vectors: DataFrame, threshold: float) -> DataFrame | None:
     """Links that connect, within each bucket, all nodes that similarities connect: every pair of a
     bucket is tested unless both are known to be connected."""
-    rows = vectors.select("node", F.explode("bands").alias("key"))
+    rows = vectors.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = settled(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
     members = settled(hot_lookup(rows, sizes, "key", "n").filter("n IS NOT NULL"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None:
+    if sizes.isEmpty():
         return None
-    tested = settled(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links, done, more = settled(_similar(tested, vectors, threshold)), 1, GROWTH
-    while largest > done + 1:       # of done + 1 nodes all pairs are tested
-        left = settled(members.filter(F.col("n") > done + 1).select("key", "node").join(_near_labels(links), "node", "left")
-                       .select("key", "node", F.coalesce("label", "node").alias("label")))
-        mixed_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        pivots = (_pivots(left, done, done + more).join(mixed_keys, "key", "left_semi")
-                  .join(left.select("key", F.col("node").alias("pivot"), F.col("label").alias("own")), ["key", "pivot"]))
-        pairs = (left.join(pivots, "key").filter((F.col("node") > F.col("pivot")) & (F.col("label") != F.col("own")))
-                 .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-        pairs = settled(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = settled(links.unionByName(_similar(pairs, vectors, threshold)))
-            tested = tested.unionByName(pairs)
-        done, more = done + more, more * GROWTH
-    return links
+    tested = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = settled(_similar(tested, vectors, threshold))
+    left = settled(members.filter("n > 2").select("key", "band", "n", "node").join(_near_labels(links), "node", "left")
+                   .withColumn("label", F.coalesce("label", "node")))
+    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return settled(links.unionByName(_block_links(left.join(several, "key", "left_semi"), vectors, threshold)))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -347,7 +412,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept identifier are kept with it. An empty table gives no rows.
     """
     made = weighted_nodes(docs, id_col, text_col, threshold)
-    vectors = settled(made.filter("keys IS NOT NULL").groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", "weights", "bands"))))
+    vectors = settled(made.filter("keys IS NOT NULL").groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", "weights", "bands", "samples"))))
     links = _links(vectors.filter(F.size("bands") > 0), threshold)
     rows = made.select("id", "node")
     if links is None:

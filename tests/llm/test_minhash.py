@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quern.llm.minhash import _links, components, near_classes, weighted_jaccard, weighted_samples
+from quern.llm.fingerprints import mixed
+from quern.llm.minhash import _links, band_keys, components, near_classes, weighted_jaccard, weighted_samples
 from quern.llm.words import shingles, token_hashes, word_hashes
 
 from .common import empty, odd_texts, table
@@ -91,16 +93,60 @@ def test_a_near_copy_beside_few_and_many_copies(spark):
         assert found[201]["class_size"] == 1
 
 
+def chained(spark, n):
+    """n nodes of one bucket of which neighbours alone are similar, and one that is like none; all samples agree, so every pair is a candidate."""
+    rows, same = [], np.zeros(80, np.uint16).tobytes()
+    for k in range(n):
+        keys = np.arange(k * 10, k * 10 + 100, dtype=np.uint32)
+        rows.append((k.to_bytes(16, "big"), keys.tobytes(), np.ones(100, np.float32).tobytes(), [5, 10_000 + k], same))
+    rows.append(((99_999).to_bytes(16, "big"), np.arange(50_000, 50_100, dtype=np.uint32).tobytes(), np.ones(100, np.float32).tobytes(), [5, 9_999], same))
+    return spark.createDataFrame(rows, "node binary, keys binary, weights binary, bands array<long>, samples binary")
+
+
 def test_chain_in_one_bucket(spark):
-    """All nodes share a bucket; neighbours alone are similar, so pivots have to go on to find the chain."""
-    rows = []
-    for n in range(24):
-        keys = np.arange(n * 10, n * 10 + 100, dtype=np.uint32)
-        rows.append((n.to_bytes(16, "big"), keys.tobytes(), np.ones(100, np.float32).tobytes(), [5, 1000 + n]))
-    rows.append(((99).to_bytes(16, "big"), np.arange(5000, 5100, dtype=np.uint32).tobytes(), np.ones(100, np.float32).tobytes(), [5]))
-    vectors = spark.createDataFrame(rows, "node binary, keys binary, weights binary, bands array<long>")
-    found = components(_links(vectors, 0.8)).collect()
-    assert {int.from_bytes(r["comp"], "big") for r in found} == {0} and len(found) == 24
+    """The pivot finds one neighbour; the blocks of the bucket have to find the chain."""
+    for n in (24, 700):
+        links = _links(chained(spark, n), 0.8)
+        found = components(links).collect()
+        assert {int.from_bytes(r["comp"], "big") for r in found} == {0} and len(found) == n
+        assert links.count() < 8 * n
+
+
+def test_earlier_bands_take_a_pair(spark):
+    """Copies of a bucket under other keys add no links of their own, and lose none."""
+    v = chained(spark, 40).withColumn("bands", F.array(F.lit(1), F.lit(2), F.lit(3), F.col("bands")[0], F.col("bands")[1]))
+    found = components(_links(v, 0.8)).collect()
+    assert {int.from_bytes(r["comp"], "big") for r in found} == {0} and len(found) == 40
+
+
+def test_large_groups_of_unlike_texts_that_share_buckets(spark):
+    """Two groups of near copies, most pairs of which are a little too far apart: classes equal those of all pairs by brute force."""
+    rng = random.Random(8)
+    rows, sets = [], []
+    for g in range(2):
+        base = np.arange(g * 10_000, g * 10_000 + 120)
+        for k in range(300):
+            keys = np.array(sorted({*rng.sample(base.tolist(), 120 - rng.randint(3, 16)), *(1_000_000 + 100 * len(sets) + x for x in range(rng.randint(2, 9)))}), np.uint32)
+            weights = np.ones(len(keys), np.float32)
+            samples = weighted_samples(keys.astype(np.uint64), weights.astype(float), 80)
+            rows.append((len(sets).to_bytes(16, "big"), keys.tobytes(), weights.tobytes(), band_keys(samples, 20).tolist(), mixed(samples).astype(np.uint16).tobytes()))
+            sets.append(set(keys.tolist()))
+    v = spark.createDataFrame(rows, "node binary, keys binary, weights binary, bands array<long>, samples binary")
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and both / (len(a) + len(sets[j]) - both) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    want = {i: find(i) for i in range(len(sets))}
+    found = {i: i for i in want} | {int.from_bytes(r["node"], "big"): int.from_bytes(r["comp"], "big") for r in components(_links(v, 0.8)).collect()}
+    assert found == want and 2 < len(set(want.values())) < 300
 
 
 def test_components(spark):
