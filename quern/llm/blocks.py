@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.scratch import discard, new_path, text_of
+from quern.llm.scratch import discard, give_back, lean, new_path, text_of
 
 #: UTF-8 bytes of a block, unless one document is longer.
 BLOCK_BYTES = 8_000_000
@@ -60,7 +60,7 @@ def packed(docs: DataFrame, make: Callable[[list[bytes]], dict[str, pa.Array]],
         if texts:
             yield block()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("data"))
-    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, {columns}")
+    return rows.mapInArrow(lean(run), f"block bigint, ids array<{kind}>, {columns}")
 
 
 class Stored:
@@ -103,10 +103,11 @@ def replies(blocks: DataFrame, ask: Callable[[dict], tuple[list[int], list[bytes
                 yield asked_batch(row["block"].as_py(), *ask(row))
 
     def answering(table: pa.Table) -> pa.Table:
-        made = answer(table.column("asked").to_pylist())
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(made, pa.binary())], names=["block", "bucket", "answer"])
+        made = pa.array(answer(table.column("asked").to_pylist()), pa.binary())
+        give_back()
+        return pa.table([table.column("block"), table.column("bucket"), made], names=["block", "bucket", "answer"])
 
-    told = blocks.mapInArrow(asking, ASKED).groupBy("bucket").applyInArrow(answering, ANSWERED)
+    told = blocks.mapInArrow(lean(asking), ASKED).groupBy("bucket").applyInArrow(answering, ANSWERED)
     return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
 

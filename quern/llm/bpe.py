@@ -20,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from quern.llm.blocks import Stored, answers_of, gathered, pack_bytes, packed, replies, shuffle_partitions, unpack_bytes
+from quern.llm.scratch import lean
 
 
 #: A larger block names fewer words twice.
 BLOCK_BYTES = 16_000_000
+#: Words of a bucket whose merges are replayed at once: the index takes some hundred bytes for each byte of them.
+WORDS = 20_000
 
 
 @lru_cache(4)
@@ -162,10 +165,13 @@ def _answer(path: str):
     def run(asked: list[bytes]) -> list[bytes]:
         ranks, merges, _ = vocabulary(path)
         lists = [unpack_bytes(x) for x in asked]
-        distinct = list(dict.fromkeys(w for ws in lists for w in ws))
-        ids = dict(zip(distinct, replay(distinct, ranks, merges), strict=True))
         kind = id_kind(path)
-        return [pack_bytes([np.array(ids[w], kind).tobytes() for w in ws]) for ws in lists]
+        distinct = list(dict.fromkeys(w for ws in lists for w in ws))
+        ids: dict[bytes, bytes] = {}
+        for at in range(0, len(distinct), WORDS):
+            part = distinct[at:at + WORDS]
+            ids.update(zip(part, (np.array(x, kind).tobytes() for x in replay(part, ranks, merges)), strict=True))
+        return [pack_bytes([ids[w] for w in ws]) for ws in lists]
     return run
 
 
@@ -206,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     buckets = 2 * shuffle_partitions(docs)
     told = replies(stored.table, _ask(buckets), _answer(path), "answers")
     return stored.table.join(told, "block", "left").select("ids", "counts", "places", "words", "answers").mapInArrow(
-        finish, f"id {kind}, n_tokens bigint, ids binary")
+        lean(finish), f"id {kind}, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -222,4 +228,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                         for x in (v.as_py() for v in part.column(ids_col))]
                 yield pa.record_batch([*(part.column(c) for c in others), pa.array(made, pa.binary())], names=[*others, "decoded"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(lean(run), f"{fields}, decoded binary")

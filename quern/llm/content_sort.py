@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.llm.scratch import settled, text_of
+from quern.llm.scratch import lean, settled, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of a text in a splitter; the digest tells longer common beginnings apart.
@@ -86,7 +86,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         T.StructField("id", kind), T.StructField("digest", T.StringType()), T.StructField("part", T.IntegerType()),
         T.StructField("keep", kind), T.StructField("size", T.LongType()), T.StructField("first", T.BooleanType()),
         T.StructField("edge", T.BooleanType())])
-    runs = settled(ordered.mapInArrow(_compare_neighbours(schema), schema))
+    runs = settled(ordered.mapInArrow(lean(_compare_neighbours(schema)), schema))
     # Runs at the ends of a range may go on in the next one: two such runs a range at most.
     edges = (runs.filter("edge AND first").groupBy("digest")
              .agg(F.sum("size").alias("whole"), F.min("part").alias("first_part"), F.min_by("keep", "part").alias("largest")))

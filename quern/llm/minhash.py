@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.blocks import Stored, answers_of, packed, replies, shuffle_partitions
 from quern.llm.fingerprints import mixed
-from quern.llm.scratch import FEW_ROWS, hot_lookup, new_path, settled
+from quern.llm.scratch import FEW_ROWS, hot_lookup, lean, new_path, settled
 from quern.llm.words import shingles, word_hashes
 
 WIDTH = 5
@@ -245,7 +245,7 @@ def weighted_nodes(docs: DataFrame, id_col: str, text_col: str, threshold: float
 
     path = new_path(spark, "nodes")
     made = blocks.join(told, "block", "left").select("ids", "sizes", "data", "nodes", "owners", "answers").mapInArrow(
-        finish, f"id {kind}, node binary, keys binary, weights binary, bands array<bigint>, samples binary")
+        lean(finish), f"id {kind}, node binary, keys binary, weights binary, bands array<bigint>, samples binary")
     made.write.option("compression", "zstd").parquet(path)
     stored.drop()
     return spark.read.schema(made.schema).parquet(path)
@@ -265,7 +265,7 @@ def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     a = vectors.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("weights").alias("wa"))
     b = vectors.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
     # the shuffles of both joins can be split where one pivot has many partners
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def _block_links(members: DataFrame, vectors: DataFrame, threshold: float) -> Da
                 held[row["own"] != row["i"]].append(row)
         if at is not None and (found := answer()) is not None:
             yield found
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _links(vectors: DataFrame, threshold: float) -> DataFrame | None:

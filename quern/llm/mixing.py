@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.ngrams import counted, log_shares, rows_with, sums_by_text
-from quern.llm.scratch import settled, text_of
+from quern.llm.scratch import lean, settled, text_of
 
 #: Bound of the labelled texts of each domain that the classifier is counted on.
 TEXTS_PER_DOMAIN = 10_000
@@ -91,7 +91,7 @@ def _shares(compact: DataFrame, mixture: Mixture, total: float) -> np.ndarray:
             sums += (m * mixture.rates(p)) @ p
         yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array(sums)], names=["domain", "tokens"])
     made = np.zeros(n)
-    for r in compact.mapInArrow(run, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect():   # a row per domain
+    for r in compact.mapInArrow(lean(run), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect():   # a row per domain
         made[r["domain"]] = r["tokens"]
     return made / total
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.fingerprints import mixed
+from quern.llm.scratch import lean
 from quern.llm.words import token_hashes
 
 #: Hash buckets of a model: its size, whatever the corpus.
@@ -42,7 +43,7 @@ def counted(rows: DataFrame, classes: list[str], buckets: int = BUCKETS) -> np.n
         met = np.flatnonzero(total.any(axis=0))
         yield pa.record_batch([pa.array(met), *(pa.array(t[met]) for t in total)], names=["bucket", *(f"c{k}" for k in range(len(classes)))])
 
-    sums = rows.select("data", *classes).mapInArrow(run, f"bucket bigint, {fields}").groupBy("bucket").agg(
+    sums = rows.select("data", *classes).mapInArrow(lean(run), f"bucket bigint, {fields}").groupBy("bucket").agg(
         *(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(classes))))
     out = np.zeros((len(classes), buckets), np.int64)
     for r in sums.toLocalIterator():
@@ -75,4 +76,4 @@ def rows_with(docs: DataFrame, text_col: str, fields: list[tuple[str, str, pa.Da
                 row = batch.column("row").slice(at, 500)
                 made = make([(t or "").encode() for t in row.field(place).to_pylist()])
                 yield pa.record_batch([row, *(pa.array(m, k) for m, (_, _, k) in zip(made, fields, strict=True))], names=["row", *(n for n, _, _ in fields)])
-    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(lean(run), schema)
