@@ -7,7 +7,8 @@ from quern.functions import text as T
 from quern.operators.rollups import ordered_text
 from quern.plans.library import duck_link
 from quern.plans.registry import plan
-from quern.streaming import streams as ST
+from quern.sources import mail as ML
+from quern.streaming import streams as ST, timed as TM
 
 
 def event_stream(lib):
@@ -92,3 +93,81 @@ def _(lib):
     old = build(lib.lines()).withColumn("text", F.when(stale, "old text").otherwise(F.col("text")))
     changed = lib.table("lineitem").select(F.col("l_orderkey").alias("recipe_id")).filter(stale).distinct()
     return ST.refreshed(old, lib.lines(), changed, "recipe_id", build).withColumnsRenamed({"recipe_id": "id", "text": "content_text"})
+
+
+# --- by event time ----------------------------------------------------------------------------
+
+def ending_stream(lib):
+    """The events as a stream that ends, so that all of them are judged."""
+    return TM.closed_by(event_stream(lib), "event_id % 5000 = 0", "entity_id")
+
+
+_NUMBERED = """
+WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY entity_id ORDER BY epoch_us(ts), event_id) AS rn FROM v_change),
+"""
+
+
+@plan("st3_cooldown_digests", _NUMBERED + """
+per AS (SELECT entity_id, list(us ORDER BY rn) AS ats, list(kind <> 'error' ORDER BY rn) AS good FROM ev GROUP BY entity_id),
+sent AS (SELECT entity_id, ats, good, ats[1] AS us, 1 AS a, 1 AS z FROM per
+ UNION ALL SELECT entity_id, ats, good, CASE WHEN ats[z + 1] < us + 21600000000 THEN us + 21600000000 ELSE ats[z + 1] END, z + 1,
+  CASE WHEN ats[z + 1] < us + 21600000000 THEN len(list_filter(ats, lambda x: x < us + 21600000000)) ELSE z + 1 END FROM sent WHERE z < len(ats))
+SELECT CAST(entity_id AS VARCHAR) AS key, us, len(list_filter(good[a:z], lambda x: x)) AS succeeded, len(list_filter(good[a:z], lambda x: NOT x)) AS failed,
+ CASE WHEN len(list_filter(good[a:z], lambda x: x)) > 0 AND len(list_filter(good[a:z], lambda x: NOT x)) > 0 THEN 'PARTIAL' WHEN len(list_filter(good[a:z], lambda x: NOT x)) > 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS kind FROM sent""")
+def _(lib):
+    e = ending_stream(lib).withColumn("success", F.col("kind") != "error")
+    return ST.run_to_end(TM.digests(e, "entity_id", 21600)).filter("key IS NOT NULL")
+
+
+def _cap_sql(limit, seconds, mark, closed):
+    """The log of a key as a list, one event further in each round."""
+    within = lambda log, us: f"list_filter({log}, lambda u: {us} - u < {seconds * 1000000 + closed})"
+    return _NUMBERED + f"""
+judged AS (SELECT entity_id, event_id, rn, true AS accepted, [us] AS log FROM ev WHERE rn = 1
+ UNION ALL SELECT ev.entity_id, ev.event_id, ev.rn, len({within('log', 'us')}) < {limit}, {within('log', 'us')} || CASE WHEN len({within('log', 'us')}) < {limit + mark} THEN [us] ELSE [] END
+ FROM judged JOIN ev ON ev.entity_id = judged.entity_id AND ev.rn = judged.rn + 1)
+SELECT CAST(entity_id AS VARCHAR) AS key, event_id, accepted FROM judged"""
+
+
+@plan("st5_sliding_quota", _cap_sql(2, 86400, 1, 1))
+def _(lib):
+    return ST.run_to_end(TM.capped(ending_stream(lib), "entity_id", 2, 86400, mark=True, closed=True)).filter("key IS NOT NULL")
+
+
+@plan("st6_sliding_cap", _cap_sql(2, 43200, 0, 0))
+def _(lib):
+    return ST.run_to_end(TM.capped(ending_stream(lib), "entity_id", 2, 43200)).filter("key IS NOT NULL")
+
+
+def try_message(body: str, number: int) -> str:
+    """Every tenth message is refused for good, the next ones fail twice, or always."""
+    return {"0": "failed", "1": "transient" if number < 3 else "ok", "2": "transient"}.get(body[-1], "ok")
+
+
+@plan("st1_landing", """
+SELECT CAST(event_id AS VARCHAR) AS msg_id, CASE WHEN event_id % 10 IN (0, 2) THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 10 IN (1, 2) THEN 3 ELSE 1 END AS attempts,
+ epoch_us(ts) + CASE WHEN event_id % 10 IN (1, 2) THEN 900000000 ELSE 0 END AS us FROM events""")
+def _(lib):
+    e = event_stream(lib).select(F.col("event_id").alias("msg_id"), "ts", F.concat(F.lit("message "), F.col("event_id").cast("string")).alias("body"))
+    late = e.filter("msg_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))     # delivered again
+    e = TM.closed_by(e.unionByName(late), "msg_id % 5000 = 0", "msg_id")
+    return ST.run_to_end(TM.landed(e, try_message)).filter("msg_id IS NOT NULL")
+
+
+def raw_messages(lib):
+    """Each document as a mail message of two parts, in base64, with an encoded subject."""
+    b64 = lambda c: F.base64(c.cast("binary"))
+    lines = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    k, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    subject = lines(F.when(F.col("doc_id") % 3 == 0, "Recette épicée ").otherwise("Nouvelle "), k)
+    part = lambda kind, body: lines("--edge\r\nContent-Type: ", kind, "; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", b64(body), "\r\n")
+    raw = lines("Message-ID: <", k, "@example.org>\r\nFrom: =?utf-8?B?", b64(F.lit("Zoé")), "?= <zoe@example.org>\r\nSubject: =?utf-8?B?", b64(subject), "?=\r\nMIME-Version: 1.0\r\n",
+                'Content-Type: multipart/alternative; boundary="edge"\r\n\r\n', part("text/html", lines("<p>", k, "</p>")), part("text/plain", text), "--edge--\r\n")
+    return lib.documents().select("doc_id", raw.alias("raw"))
+
+
+@plan("src22_messages", """
+SELECT doc_id, 'Recette épicée ' || doc_id AS subject, 'Zoé <zoe@example.org>' AS sender, '<' || doc_id || '@example.org>' AS msg_id, md5(coalesce(text, '')) AS plain, '<p>' || doc_id || '</p>' AS html, 0 AS attachments
+FROM documents WHERE doc_id % 3 = 0""")
+def _(lib):
+    return ML.messages(raw_messages(lib), "raw", "ÉPICÉE").withColumn("plain", F.md5("plain"))
