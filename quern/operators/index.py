@@ -71,7 +71,7 @@ class SearchIndex:
         """A new index of ``docs``(doc_id and the weighted columns); later identifiers must not repeat within one call."""
         spark, root = docs.sparkSession, root.rstrip("/")
         name = _write_segment(docs, weights, root)
-        _, state = M.update(spark, root, lambda old: {"weights": weights, "segments": [name], "marks": []})
+        _, state = M.update(spark, root, lambda old: {"weights": weights, "segments": [name], "marks": [], "id": docs.schema["doc_id"].dataType.simpleString()})
         return SearchIndex(spark, root, state)
 
     def change(self, docs: DataFrame | None = None, gone: DataFrame | None = None) -> SearchIndex:
@@ -115,7 +115,7 @@ class SearchIndex:
             folders = [r[0] for r in terms.select(_folder(F.col("term"))).distinct().collect()]     # FOLDERS numbers at most
         out = None
         for s in self.state["segments"]:
-            b = self.spark.read.parquet(f"{self.root}/{s}/blocks")
+            b = self.spark.read.schema(f"folder int, term string, top_wtf double, low_dl bigint, n int, posts array<struct<doc_id:{self.state['id']},wtf:double,dl:bigint>>").parquet(f"{self.root}/{s}/blocks")
             if terms is not None:
                 b = b.filter(F.col("folder").isin(folders)).join(terms.select("term").distinct(), "term", "left_semi")
             b = b.select("term", "top_wtf", "low_dl", "n", "posts")
@@ -157,7 +157,7 @@ class SearchIndex:
         blocks = cut_lineage(self.blocks(starts.select("term")))
         n_docs, mean = self.lengths().agg(F.count(F.lit(1)), F.avg("dl")).first()
         if not n_docs:
-            return queries.select("qid", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+            return queries.select("qid", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)        # no documents
         k1, b = W.BM25_K1, W.BM25_B
         gain = lambda wtf, dl: wtf * (k1 + 1) / (wtf + k1 * (1 - b + b * dl / (mean or 1.0)))
         per_word = starts.join(blocks, "term")

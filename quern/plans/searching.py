@@ -1,13 +1,15 @@
 """Search over the documents: index, typo tolerance, ranking, excerpts."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as T, words as W
 from quern.model import VIEWS
-from quern.operators import search as S
+from quern.operators import index as IX, search as S
 from quern.plans.registry import plan
-from quern.session import cut_lineage
+from quern.session import checkpoint_dir, cut_lineage
 
 COLUMNS = {"title": 10.0, "content_text": 3.0, "tags_text": 5.0}
 _TOK = r"'[\p{L}\p{N}_]+'"
@@ -178,3 +180,60 @@ def _(lib):
     ix = index(lib)
     w = S.parse(queries(lib)).filter("NOT leave_out").withColumn("prefix", F.col("word"))
     return S.provenance(w, ix, S.vocabulary_of(ix), ["tags_text"])
+
+
+# --- the stored index -----------------------------------------------------------------------------
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def search_index(lib):
+    """The documents' index in the shared folder; queries of one session over one library share it."""
+    key = (lib.spark.sparkContext.applicationId, lib.path)
+    if key not in _INDEXES:
+        root = f"{checkpoint_dir(lib.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        IX.SearchIndex.build(docs(lib), COLUMNS, root)
+        _INDEXES[key] = root
+    return IX.SearchIndex(lib.spark, _INDEXES[key])
+
+
+_TOP = """
+SELECT qid, doc_id, score, rank FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id DESC) AS rank FROM s
+ WHERE k = 2 AND (qid, doc_id) NOT IN (SELECT qid, doc_id FROM gone)) WHERE rank <= 10"""
+
+
+@plan("sch4_stored_top_k", _RANKED + _TOP)
+def _(lib):
+    return search_index(lib).top(queries(lib), 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_REVISED = _RANKED.replace("WITH t AS", """
+WITH v_doc2 AS (SELECT doc_id, CASE WHEN doc_id % 100 = 3 THEN 'Revised ' || title ELSE title END AS title, CASE WHEN doc_id % 100 = 3 THEN content_text || ' revised again' ELSE content_text END AS content_text, tags_text
+ FROM v_doc WHERE doc_id % 100 <> 7),
+v_token2 AS (SELECT doc_id, 'title' AS col, unnest(regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}_]+')) AS term FROM v_doc2
+ UNION ALL SELECT doc_id, 'content_text', unnest(regexp_extract_all(strip_accents(lower(content_text)), '[\\p{L}\\p{N}_]+')) FROM v_doc2
+ UNION ALL SELECT doc_id, 'tags_text', unnest(regexp_extract_all(strip_accents(lower(tags_text)), '[\\p{L}\\p{N}_]+')) FROM v_doc2),
+v_posting2 AS (SELECT doc_id, col, term, count(*) AS tf FROM v_token2 GROUP BY ALL), v_term2 AS (SELECT term, count(DISTINCT doc_id) AS docs FROM v_posting2 GROUP BY term),
+t AS""", 1).replace("v_posting JOIN t", "v_posting2 JOIN t").replace("JOIN v_term ON", "JOIN v_term2 ON").replace("v_word JOIN v_posting ON", "v_word JOIN v_posting2 ON").replace(
+    "FROM v_posting GROUP BY doc_id), df", "FROM v_posting2 GROUP BY doc_id), df").replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM v_doc2)")
+
+
+def revised(lib):
+    """The stored index after a change of one in a hundred documents and the removal of as many."""
+    d = docs(lib)
+    changed = d.filter("doc_id % 100 = 3").select("doc_id", F.concat(F.lit("Revised "), "title").alias("title"), F.concat("content_text", F.lit(" revised again")).alias("content_text"), "tags_text")
+    root = f"{checkpoint_dir(lib.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return IX.SearchIndex.build(d, COLUMNS, root).change(changed, d.filter("doc_id % 100 = 7").select("doc_id"))
+
+
+@plan("st8_index_upkeep", _REVISED + _TOP)
+def _(lib):
+    return revised(lib).top(queries(lib), 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@plan("st8_compacted_postings", _REVISED + """
+, w AS (SELECT doc_id, term, sum(tf * CASE col WHEN 'title' THEN 10.0 WHEN 'content_text' THEN 3.0 ELSE 5.0 END) AS wtf FROM v_posting2 GROUP BY ALL)
+SELECT term, count(*) AS docs, CAST(sum(wtf) AS DOUBLE) AS weight, CAST(max(doc_id) AS BIGINT) AS last FROM w GROUP BY term""")
+def _(lib):
+    p = revised(lib).compact().postings()
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("wtf").alias("weight"), F.max("doc_id").alias("last"))
