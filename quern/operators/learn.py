@@ -1,6 +1,8 @@
 """Learning from corrected records: alignment, features, models, decisions."""
 from __future__ import annotations
 
+import math
+import uuid
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -11,7 +13,8 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions import patterns as P, text as T, words as W
-from quern.operators import lines as L, segment as G
+from quern.operators import lines as L, manifest, segment as G
+from quern.session import cut_lineage
 
 LABELS = ["other", "title", "ingredient", "step"]
 
@@ -261,27 +264,68 @@ def transitions(labels: DataFrame) -> DataFrame:
     return c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("kind", "a")))   # 24 rows
 
 
-def best_path(emissions: DataFrame, probs: dict[tuple[str, str, str], float]) -> DataFrame:
-    """Most likely label sequence per document. emissions(doc_id, i, p array<double> by
-    label). A fold over the lines keeps, per label, its best score and path."""
-    import math
-    lg = lambda kind, a, b: F.lit(math.log(probs[(kind, a, b)]))
+#: Lines of a block of a text, whose scores are composed as one matrix.
+PATH_BLOCK = 128
+
+
+def best_path(emissions: DataFrame, probs: dict[tuple[str, str, str], float], block: int = PATH_BLOCK) -> DataFrame:
+    """(doc_id, i, label): the most likely label sequence per document; the first label wins among equals. emissions(doc_id, i, p array<double> by label).
+
+    A text is cut into blocks of lines. A block is a max-plus matrix (from the label before it to its last label), and
+    the matrices of a text in order give the scores before each block. With these a block finds the pointers back
+    from each line to the one before, and their composition, one label for each label, leads from the text's end to the end of
+    each block. So no row holds more than a block of lines or a text's matrices, and the work is linear in the lines."""
     k = range(len(LABELS))
-    emit = lambda p, j: F.log(p[j] + 1e-9) - lg("prior", "-", LABELS[j])
-    seq = emissions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("seq"))
-    state = "array<struct<s:double,path:array<int>>>"
-    first = F.array(*[F.struct((lg("start", "-", LABELS[j]) + emit(F.element_at("seq", 1)["p"], j)).alias("s"), F.array(F.lit(j)).alias("path")) for j in k]).cast(state)
-
-    def step(acc, x):
-        def into(j):
-            best = F.array_max(F.array(*[F.struct((acc[a]["s"] + lg("step", LABELS[a], LABELS[j])).alias("s"), F.lit(-a).alias("a")) for a in k]))
-            return F.struct((best["s"] + emit(x["p"], j)).alias("s"), F.concat(F.element_at(acc, 1 - best["a"])["path"], F.array(F.lit(j))).alias("path"))
-        return F.array(*[into(j) for j in k]).cast(state)
-    done = F.aggregate(F.slice("seq", F.lit(2), F.size("seq")), first, step)
-    top = F.array_max(F.transform(done, lambda s, j: F.struct(s["s"].alias("s"), (-j).alias("j"), s["path"].alias("path"))))
+    low = -1e300
+    log = lambda kind, a, b: F.lit(math.log(probs[(kind, a, b)]))
+    numbers = lambda xs: F.array(*[F.lit(x) for x in xs])
+    step = [[math.log(probs[("step", a, b)]) for b in LABELS] for a in LABELS]
+    emit = F.array(*[F.log(F.col("p")[j] + 1e-9) - log("prior", "-", LABELS[j]) for j in k])
+    cells = emissions.select("doc_id", F.floor(F.col("i") / block).alias("b"), F.struct("i", emit.alias("e")).alias("x"))
+    blocks = cut_lineage(cells.groupBy("doc_id", "b").agg(F.array_sort(F.collect_list("x")).alias("xs")))
+
+    def onward(scores, e, j):
+        """Score of label j on a line after these scores of the line before."""
+        return F.array_max(F.array(*[scores[a] + F.lit(step[a][j]) for a in k])) + e[j]
+
+    # one row of the matrix for each label before the block
+    unit = lambda a: numbers([0.0 if x == a else low for x in k])
+    row = lambda a: F.aggregate("xs", unit(a), lambda s, x: F.array(*[onward(s, x["e"], j) for j in k]))
+    first = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), F.array(*[log("start", "-", LABELS[j]) + F.element_at("xs", 1)["e"][j] for j in k]),
+                        lambda s, x: F.array(*[onward(s, x["e"], j) for j in k]))
+    matrices = blocks.select("doc_id", F.struct("b", F.array(*[row(a) for a in k]).alias("m"), first.alias("f")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("bs"))
+
+    def through(acc, x):
+        last = F.element_at(acc, -1)
+        return F.array_append(acc, F.array(*[F.array_max(F.array(*[last[a] + x["m"][a][j] for a in k])) for j in k]))
+    ends = F.aggregate(F.slice("bs", F.lit(2), F.size("bs")), F.array(F.element_at("bs", 1)["f"]), through)
+    before = matrices.withColumn("ends", ends).select("doc_id", F.posexplode("bs").alias("n", "x"), "ends").select(
+        "doc_id", F.col("x.b").alias("b"), F.when(F.col("n") > 0, F.get("ends", F.col("n") - 1)).alias("entry"))
+
+    # pointers of each line: for each label the best label of the line before; none on the first line of a text
+    def best_before(scores, j):
+        return F.array_max(F.array(*[F.struct((scores[a] + F.lit(step[a][j])).alias("s"), F.lit(-a).alias("a")) for a in k]))
+
+    def point(acc, x):
+        found = [best_before(acc["s"], j) for j in k]
+        return F.struct(F.array(*[f["s"] + x["e"][j] for j, f in zip(k, found)]).alias("s"), F.array_append(acc["ps"], F.array(*[(-f["a"]).cast("int") for f in found])).alias("ps"))
+    none = F.array().cast("array<array<int>>")
+    opened = F.struct(F.array(*[log("start", "-", LABELS[j]) + F.element_at("xs", 1)["e"][j] for j in k]).alias("s"), F.array_append(none, F.array(*[F.lit(j) for j in k])).alias("ps"))
+    begun = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), opened, point)
+    going = F.aggregate("xs", F.struct(F.col("entry").alias("s"), none.alias("ps")), point)
+    scored = cut_lineage(blocks.join(before, ["doc_id", "b"]).withColumn("r", F.when(F.col("entry").isNull(), begun).otherwise(going)).select("doc_id", "b", F.transform("xs", lambda x: x["i"]).alias("is"), "r"))
+
+    # the label before the block for each label at its end
+    back = F.aggregate(F.reverse("r.ps"), F.array(*[F.lit(j) for j in k]), lambda to, p: F.transform(to, lambda j: p[j]))
+    maps = scored.select("doc_id", F.struct("b", back.alias("back"), F.col("r.s").alias("s")).alias("x")).groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("bs"))
+    top = F.array_max(F.transform(F.element_at("bs", 1)["s"], lambda s, j: F.struct(s.alias("s"), (-j).alias("j"))))
+    exits = F.aggregate("bs", F.array((-top["j"]).cast("int")), lambda acc, x: F.array_append(acc, x["back"][F.element_at(acc, -1)]))
+    out = maps.withColumn("exits", exits).select("doc_id", F.posexplode("bs").alias("n", "x"), "exits").select("doc_id", F.col("x.b").alias("b"), F.get("exits", F.col("n")).alias("exit"))
+    # within the block, from its end to its start: the last label, then what the pointers name
+    walk = F.aggregate(F.reverse(F.slice("r.ps", F.lit(2), F.size("r.ps"))), F.array("exit"), lambda acc, p: F.array_append(acc, p[F.element_at(acc, -1)]))
     names = F.array(*map(F.lit, LABELS))
-    d = seq.withColumn("path", top["path"])
-    return d.select("doc_id", F.inline(F.zip_with("seq", "path", lambda x, j: F.struct(x["i"].alias("i"), F.element_at(names, j + 1).alias("label")))))
+    return scored.join(out, ["doc_id", "b"]).withColumn("path", F.reverse(walk)).select(
+        "doc_id", F.inline(F.zip_with("is", "path", lambda i, j: F.struct(i.alias("i"), F.element_at(names, j + 1).alias("label")))))
 
 
 # --- decisions -------------------------------------------------------------------------------
@@ -321,27 +365,14 @@ def uncertain(probs: DataFrame) -> DataFrame:
 
 
 def publish(model, root: str, spark, report: dict) -> str:
-    """Writes a new generation and then a pointer of its own to it. Nothing is overwritten: a
-    reader finds the highest pointer, so it sees the old generation or the new one, whole."""
-    import json
-    gen = _newest(root, spark) + 1
-    path = f"{root}/gen-{gen:05d}"
+    """Writes a new generation and commits a pointer to it. Nothing is overwritten: a reader finds the newest
+    pointer, so it sees the old generation or the new one, whole; of two writers each gets a generation of its own."""
+    path = f"{root}/gen-{uuid.uuid4().hex}"
     model.write().save(path)
-    spark.createDataFrame([(path, json.dumps(report))], "path string, report string").coalesce(1).write.json(f"{root}/current/gen={gen}")
+    manifest.update(spark, root, lambda old: {"path": path, "report": report, "before": (old or {}).get("path")})
     return path
 
 
 def current_model(root: str, spark) -> str | None:
-    gen = _newest(root, spark)
-    return spark.read.json(f"{root}/current/gen={gen}").first()["path"] if gen else None
-
-
-def _newest(root: str, spark) -> int:
-    """The highest generation with a whole pointer, 0 without any; errors of the store are raised."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return 0
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    names = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(done(s.getPath(), "_SUCCESS"))]
-    return max((int(n.removeprefix("gen=")) for n in names if n.startswith("gen=")), default=0)
+    found = manifest.newest(spark, root)[1]
+    return found["path"] if found else None

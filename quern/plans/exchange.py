@@ -1,12 +1,15 @@
 """Pages, imports and exports."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.plans.library import now
 from quern.plans.registry import plan
-from quern.sources import exchange as X, pages as PG
+from quern.session import checkpoint_dir
+from quern.sources import cases as CS, exchange as X, pages as PG
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
@@ -181,3 +184,18 @@ SELECT id, kind, CASE WHEN kind IS NULL THEN 'no original input kept' WHEN kind
 def _(lib):
     r = lib.recipes().withColumn("steps", F.array(F.lit("Mix."), F.lit("Bake."))).withColumn("raw_text", F.when(F.col("id") % 2 == 0, "mix.\n\n Bake.").otherwise("Name\nMix."))
     return X.case_rows(r)
+
+
+@plan("src19_case_folders", """
+SELECT lpad(doc_id::VARCHAR, 7, '0') || '-' || lang AS case_id, CASE WHEN doc_id % 3 = 0 THEN 'url' ELSE 'text' END AS type, lang, doc_id % 2 = 0 AS checked, md5(coalesce(text, '')) AS input, n_chars AS expected
+FROM documents WHERE doc_id % 5 > 0""")
+def _(lib):
+    CS.register(lib.spark)
+    k = F.col("doc_id")
+    d = lib.documents().filter(k % 5 > 0).select(
+        F.concat(F.lpad(k.cast("string"), 7, "0"), F.lit("-"), "lang").alias("case_id"), F.when(k % 3 == 0, "url").otherwise("text").alias("type"), "lang", (k % 2 == 0).alias("checked"),
+        F.coalesce("text", F.lit("")).alias("input"), F.to_json(F.struct("n_chars")).alias("expected"))
+    root = f"{checkpoint_dir(lib.spark).rstrip('/')}/cases-{uuid.uuid4().hex}"
+    d.write.format("case_folders").mode("append").save(root)
+    back = lib.spark.read.format("case_folders").load(root)
+    return back.select("case_id", "type", "lang", "checked", F.md5("input").alias("input"), F.get_json_object("expected", "$.n_chars").cast("bigint").alias("expected"))

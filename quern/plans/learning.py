@@ -1,6 +1,9 @@
 """Alignment, features, models and evaluation on the documents and labels."""
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -8,7 +11,7 @@ from quern.functions import text as T, words as W
 from quern.operators import evaluate as V, learn as M, segment as G
 from quern.plans.registry import plan
 from quern.plans.texts import doclines
-from quern.session import cut_lineage
+from quern.session import checkpoint_dir, cut_lineage
 
 _TOK = r"'[\p{L}\p{N}_]+'"
 
@@ -159,7 +162,24 @@ def _(lib):
     return lib.documents().select("doc_id", M.fold(F.col("doc_id"), 5).alias("fold"))
 
 
-@plan("ml7_best_path")
+_PATH = _ALIGN + """,
+lb AS (SELECT unnest(['other', 'title', 'ingredient', 'step']) AS l),
+tc AS (SELECT 'prior' AS kind, '-' AS a, label AS b FROM al UNION ALL SELECT 'start', '-', label FROM (SELECT label, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM al) WHERE r = 1
+ UNION ALL SELECT 'step', label, nx FROM (SELECT label, lead(label) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM al) WHERE nx IS NOT NULL
+ UNION ALL SELECT 'prior', '-', l FROM lb UNION ALL SELECT 'start', '-', l FROM lb UNION ALL SELECT 'step', p.l, q.l FROM lb p, lb q),
+pr AS (SELECT kind, a, b, ln(count(*) / sum(count(*)) OVER (PARTITION BY kind, a)) AS p, list_position(['other', 'title', 'ingredient', 'step'], a) AS x, list_position(['other', 'title', 'ingredient', 'step'], b) AS y FROM tc GROUP BY kind, a, b),
+st AS (SELECT list(p ORDER BY y) AS start FROM pr WHERE kind = 'start'), pi AS (SELECT list(p ORDER BY y) AS prior FROM pr WHERE kind = 'prior'),
+sp AS (SELECT list(p ORDER BY x, y) AS step FROM pr WHERE kind = 'step'),
+em AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, list_transform([1, 2, 3, 4], lambda j: ln([0.1::DOUBLE, 0.1, CASE WHEN words % 3 = 0 THEN 0.6 ELSE 0.2 END, CASE WHEN words % 3 = 0 THEN 0.2 ELSE 0.6 END][j] + 1e-9) - prior[j]) AS e FROM v_docline, pi),
+fw AS (SELECT doc_id, rn, list_transform([1, 2, 3, 4], lambda j: start[j] + e[j]) AS s, [0, 0, 0, 0] AS ptr FROM em, st WHERE rn = 1
+ UNION ALL SELECT doc_id, rn, list_transform([1, 2, 3, 4], lambda j: list_max(c[j]) + e[j]), list_transform([1, 2, 3, 4], lambda j: list_position(c[j], list_max(c[j])))
+ FROM (SELECT em.doc_id, em.rn, e, list_transform([1, 2, 3, 4], lambda j: list_transform([1, 2, 3, 4], lambda a: s[a] + step[(a - 1) * 4 + j])) AS c FROM fw JOIN em ON em.doc_id = fw.doc_id AND em.rn = fw.rn + 1, sp)),
+bw AS (SELECT doc_id, rn, list_position(s, list_max(s)) AS label, ptr FROM fw JOIN (SELECT doc_id, max(rn) AS rn FROM em GROUP BY doc_id) USING (doc_id, rn)
+ UNION ALL SELECT fw.doc_id, fw.rn, bw.ptr[bw.label], fw.ptr FROM bw JOIN fw ON fw.doc_id = bw.doc_id AND fw.rn = bw.rn - 1)
+SELECT doc_id, i, ['other', 'title', 'ingredient', 'step'][bw.label] AS label FROM bw JOIN em USING (doc_id, rn)"""
+
+
+@plan("ml7_best_path", _PATH.replace("WITH ln AS", "WITH RECURSIVE ln AS", 1))
 def _(lib):
     probs = {(r["kind"], r["a"], r["b"]): r["p"] for r in M.transitions(aligned(lib)[0]).collect()}   # 24 rows
     e = doclines(lib).select("doc_id", "i", F.array(F.lit(0.1), F.lit(0.1), F.when(F.col("words") % 3 == 0, 0.6).otherwise(0.2), F.when(F.col("words") % 3 == 0, 0.2).otherwise(0.6)).alias("p"))
@@ -264,3 +284,15 @@ def _(lib):
     extra = lib.spark.createDataFrame([("Gadget", "main_ingredient", "gizmo", True)], "tag_name string, category string, keyword string, rules_out_veg boolean")
     docs = lib.lines().groupBy(F.col("recipe_id").alias("doc_id")).agg(F.array_join(F.collect_list("name"), " , ").alias("text"))
     return E.keyword_tags(docs, E.tag_lexicon(lib.spark, extra)).select("doc_id", "tag_name")
+
+
+@plan("ml13_published_model", "SELECT doc_id, toxic = 1 AS truth, true AS same FROM labels")
+def _(lib):
+    """A model is fitted, published, found again and loaded; its scores are those of the one that was fitted."""
+    rows = cut_lineage(labelled(lib).withColumn("y", F.array_contains("tags", "toxic").cast("int")))
+    root = f"{checkpoint_dir(lib.spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    fitted = M.fit_tag(rows, 2.0)
+    M.publish(fitted, root, lib.spark, {"rows": rows.count()})
+    loaded = LogisticRegressionModel.load(M.current_model(root, lib.spark))
+    score = lambda m, name: m.transform(rows).select("doc_id", (F.col("y") == 1).alias("truth"), vector_to_array("probability")[1].alias(name))
+    return score(fitted, "a").join(score(loaded, "b").drop("truth"), "doc_id").select("doc_id", "truth", (F.col("a") == F.col("b")).alias("same"))
