@@ -25,12 +25,23 @@ def line_tokens(c: Column) -> Column:
     return F.array_distinct(T.tokens(F.regexp_replace(F.regexp_replace(c, P.STEP_START, ""), P.MARKER, "")))
 
 
-def _overlaps(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, i, label, k, inter, n_line, n_item) of every line and saved item of a
-    document that share a word: an equality join on (document, word)."""
-    lt = lines.select("doc_id", "i", line_tokens(F.col("line")).alias("t")).select("doc_id", "i", F.size("t").alias("n_line"), F.explode("t").alias("w"))
-    it = items.select("doc_id", "label", "k", line_tokens(F.col("text")).alias("t")).select("doc_id", "label", "k", F.size("t").alias("n_item"), F.explode("t").alias("w"))
-    return lt.join(it, ["doc_id", "w"]).groupBy("doc_id", "i", "label", "k", "n_line", "n_item").agg(F.count(F.lit(1)).alias("inter"))
+def _overlaps(lines: DataFrame, items: DataFrame, share: float = W.MATCH_SHARE) -> DataFrame:
+    """(doc_id, i, label, k, inter, n_line, n_item) of every line and saved item of a document where the item has at least ``share`` of the
+    line's words.
+
+    An item that has so many of a line's words has one of any few of them that leave too few others out. So lines meet
+    items only on the rarest of their words that any item has, and words that many items share make no pairs."""
+    lt = lines.select("doc_id", "i", line_tokens(F.col("line")).alias("t")).filter(F.size("t") > 0)
+    words = items.select("doc_id", "label", "k", line_tokens(F.col("text")).alias("s")).select("*", F.explode("s").alias("w"))
+    known = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    met = (lt.select("doc_id", "i", F.size("t").alias("size"), F.explode("t").alias("w")).join(known, ["doc_id", "w"]).groupBy("doc_id", "i", "size")
+           .agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws")))
+    need = F.ceil(F.col("size") * share).cast("int")
+    rare = met.filter(F.size("ws") >= need).select("doc_id", "i", F.explode(F.slice(F.transform("ws", lambda x: x["w"]), F.lit(1), F.size("ws") - need + 1)).alias("w"))
+    pairs = rare.join(words.select("doc_id", "label", "k", "w"), ["doc_id", "w"]).select("doc_id", "i", "label", "k").distinct()
+    full = pairs.join(lt, ["doc_id", "i"]).join(words.select("doc_id", "label", "k", "s").distinct(), ["doc_id", "label", "k"])
+    o = full.select("doc_id", "i", "label", "k", F.size("t").alias("n_line"), F.size("s").alias("n_item"), F.size(F.array_intersect("t", "s")).cast("bigint").alias("inter"))
+    return o.filter(F.col("inter") >= F.col("n_line") * share)
 
 
 def align(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

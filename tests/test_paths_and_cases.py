@@ -99,3 +99,21 @@ def test_cases_written_and_read_back(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out" / "a1").iterdir()) == ["expected.json", "input.html", "meta.json"]
     assert sorted(map(tuple, spark.read.format("case_folders").load(str(tmp_path / "out")).collect())) == rows
     assert spark.read.format("case_folders").load(str(tmp_path / "empty")).collect() == []
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(9)
+    words = [a + b + c for a in "bcdf" for b in "aeo" for c in "lm"]
+    text = lambda n: " ".join(rng.choice(words + ["common"] * 12) for _ in range(n))
+    lines = [(d, i, text(rng.randint(0, 7))) for d in range(3) for i in range(40)]
+    items = [(d, l, k, text(rng.randint(0, 12))) for d in range(3) for k in range(25) for l in ("ingredient", "step")] + [(0, "title", 0, lines[3][2])]
+    found = learn._overlaps(spark.createDataFrame(lines, "doc_id long, i long, line string"), spark.createDataFrame(items, "doc_id long, label string, k long, text string"))
+    want = set()
+    for d, i, line in lines:
+        t = set(line.split())
+        for e, l, k, s in items:
+            both = len(t & set(s.split()))
+            if d == e and t and both >= 0.75 * len(t):
+                want.add((d, i, l, k, both, len(t), len(set(s.split()))))
+    got = [tuple(r[c] for c in ("doc_id", "i", "label", "k", "inter", "n_line", "n_item")) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
