@@ -23,8 +23,11 @@ from quern.llm.scratch import lean, settled, text_of
 TEXTS_PER_DOMAIN = 10_000
 #: Pull of the rates towards 1, against a squared miss of 1.
 PULL = 0.02
-STEPS = 30
+#: The descent ends when no rate moves by more than MOVE in a step, or after STEPS.
+STEPS, MOVE = 60, 2e-3
 MAX_RATE = 1.0
+#: The wanted tokens of the domain that is needed whole, against what there is of it.
+MARGIN = 1.01
 
 
 @dataclass
@@ -70,54 +73,76 @@ class Mixture:
     pull: float = PULL
     max_rate: float = MAX_RATE
     misses: list[np.ndarray] = field(default_factory=list)
+    #: expected shares after the last step, as parts of all tokens there are, and the largest move of a rate in it
+    reached: np.ndarray | None = None
+    moved: float = 0.0
+    total: float = 0.0
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors ``p`` after the steps so far, all from 1."""
-        r = np.ones(len(p))
-        for miss in self.misses:
-            r = np.clip(r - self.step * (p @ miss + self.pull * (r - 1)), 0, self.max_rate)
-        return r
+        return self.rates_and_move(p)[0]
 
+    def rates_and_move(self, p: np.ndarray) -> tuple[np.ndarray, float]:
+        r, move = np.ones(len(p)), 0.0
+        for k, miss in enumerate(self.misses):
+            after = np.clip(r - self.step * (p @ miss + self.pull * (r - 1)), 0, self.max_rate)
+            if k + 1 == len(self.misses) and len(p):
+                move = float(np.abs(after - r).max())
+            r = after
+        return r, move
 
-def _shares(compact: DataFrame, mixture: Mixture, total: float) -> np.ndarray:
-    """Expected token shares of the domains at the present rates."""
+    def report(self) -> list[tuple[float, float]]:
+        """Wanted and reached tokens of each domain."""
+        reached = self.reached if self.reached is not None else np.zeros(len(self.targets))
+        return [(float(a * self.total), float(b * self.total)) for a, b in zip(self.targets, reached, strict=True)]
+
+
+def _shares(compact: DataFrame, mixture: Mixture, total: float) -> tuple[np.ndarray, float]:
+    """Expected token shares of the domains at the present rates, and the largest move of a rate in the last step."""
     n = len(mixture.targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(n)
+        sums, moved = np.zeros(n), 0.0
         for batch in batches:
             p = batch.column("p").flatten().to_numpy().reshape(-1, n)
             m = batch.column("tokens").to_numpy()
-            sums += (m * mixture.rates(p)) @ p
-        yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array(sums)], names=["domain", "tokens"])
-    made = np.zeros(n)
-    for r in compact.mapInArrow(lean(run), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect():   # a row per domain
-        made[r["domain"]] = r["tokens"]
-    return made / total
+            rates, move = mixture.rates_and_move(p)
+            sums += (m * rates) @ p
+            moved = max(moved, move)
+        yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array(sums), pa.array([moved] * n)], names=["domain", "tokens", "moved"])
+    made, moved = np.zeros(n), 0.0
+    for r in compact.mapInArrow(lean(run), "domain int, tokens double, moved double").groupBy("domain").agg(
+            F.sum("tokens").alias("tokens"), F.max("moved").alias("moved")).collect():   # a row per domain
+        made[r["domain"]], moved = r["tokens"], max(moved, r["moved"])
+    return made / total, moved
 
 
 def fitted(compact: DataFrame, weights: list[float], whole: int = 0, budget: float | None = None, steps: int = STEPS,
-           pull: float = PULL, max_rate: float = MAX_RATE) -> Mixture:
+           pull: float = PULL, max_rate: float = MAX_RATE, margin: float = MARGIN, move: float = MOVE) -> Mixture:
     """The mixture for documents (tokens, p).
 
     ``weights`` are the wanted shares of the domains, above 0. ``budget`` is the wanted
-    number of tokens as a share of those there are; by default it is such that domain number
-    ``whole`` is needed whole at ``max_rate`` (and a hundredth more, which holds its rates at that
-    bound). Misses count relative to their targets, so a small domain matters as a
-    large one does. Without tokens there are no steps: all rates are 1.
+    number of tokens as a share of those there are; by default it is such that ``margin`` times what there is of domain
+    number ``whole`` is needed, which holds its rates at or above 1 where ``max_rate`` allows it. Misses count relative to
+    their targets, so a small domain matters as a large one does. The descent ends when no rate moves by more than
+    ``move``, or after ``steps``; the mixture's report tells wanted and reached tokens. Without tokens there
+    are no steps: all rates are 1.
     """
     w = np.array(weights) / np.sum(weights)
     total = float(compact.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return Mixture(w, pull=pull, max_rate=max_rate)
-    there = _shares(compact, Mixture(w), total)
+    there, _ = _shares(compact, Mixture(w), total)
     if budget is None:
-        budget = 1.01 * max_rate * there[whole] / w[whole]
+        budget = margin * there[whole] / w[whole]
     targets = w * budget
     # the Hessian's largest eigenvalue is at most its largest row sum
-    mixture = Mixture(targets, 1 / (float(np.max(there / targets)) + pull), pull, max_rate)
+    mixture = Mixture(targets, 1 / (float(np.max(there / targets)) + pull), pull, max_rate, reached=there, total=total)
     for _ in range(steps):
-        mixture.misses.append(_shares(compact, mixture, total) / targets - 1)
+        mixture.misses.append(mixture.reached / targets - 1)
+        mixture.reached, mixture.moved = _shares(compact, mixture, total)
+        if mixture.moved < move:
+            break
     return mixture
 
 
@@ -132,11 +157,16 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text",
     return rows_with(docs, text_col, [*fields, *([("rate", "double", pa.float64())] if mixture else [])], make)
 
 
-def mixed_documents(docs: DataFrame, model: Classifier, weights: list[float], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixture_of(docs: DataFrame, model: Classifier, weights: list[float], text_col: str = "text", **how) -> Mixture:
+    return fitted(settled(with_posteriors(docs.select(text_col), model, text_col).select("tokens", "p")), weights, **how)
+
+
+def mixed_documents(docs: DataFrame, model: Classifier, weights: list[float], id_col: str = "doc_id", text_col: str = "text",
+                    mixture: Mixture | None = None, **how) -> DataFrame:
     """(row, tokens, p, rate, copies), where row is a struct of all columns: how often a document is
-    in the mixture, its rate rounded up or down at random with the rate as mean. The draw depends
+    in the mixture (one fitted here, or the one given), its rate rounded up or down at random with the rate as mean. The draw depends
     on identifier and text only. Null texts are empty, texts without tokens count nothing and
     have the rate of their priors; an empty table gives an empty one."""
-    mixture = fitted(settled(with_posteriors(docs.select(text_col), model, text_col).select("tokens", "p")), weights, **how)
+    mixture = mixture or mixture_of(docs, model, weights, text_col, **how)
     draw = (F.pmod(F.xxhash64(f"row.{id_col}", f"row.{text_col}", F.lit("mix")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return with_posteriors(docs, model, text_col, mixture).withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))

@@ -4,12 +4,13 @@ Suffixes need to be told apart up to ``LENGTH`` bytes only. A difference cover n
 few residues of all places such that any two places have, within one period, a common shift
 after which both are in the sample. The samples' classes (equal bytes up to where a match
 must reach) are computed first; a suffix none of whose samples has a tie can have no
-long tie and is never sorted. What is left is dealt into buckets by the first bytes of the
-suffix, one bucket is sorted at a time, to full depth, and ties there are repeats.
+long tie and goes no further. What is left is dealt into buckets by the first bytes of the
+suffix; a task takes one bucket at a time, sorts its suffixes and calls neighbours that tie to full depth repeats.
 
 Blocks of documents ask buckets (see blocks.py): each distinct key once per block, so the
-commonest passage or a run of one byte weighs no more than one key per block. Classes
-and depths are compared by 64-bit fingerprints within buckets of their own prefix.
+commonest passage or a run of one byte weighs no more than one key per block. What is sorted are 64-bit
+fingerprints of the suffixes' first LENGTH bytes, not the bytes: they tell equal from different and
+have no order of their own, which repeats don't need. The README says where that leaves the method.
 """
 from __future__ import annotations
 

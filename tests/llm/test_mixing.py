@@ -68,3 +68,21 @@ def test_no_tokens_no_labels_no_rows(spark):
     assert [r["copies"] for r in mixed_documents(docs, model, [1, 1, 1]).collect()] == [1, 1, 1]
     assert mixed_documents(empty(spark), model, [1, 1, 1]).collect() == []
     assert Mixture(np.ones(2)).rates(np.ones((3, 2)) / 2).tolist() == [1, 1, 1]
+
+
+def test_descent_ends_when_rates_stand_still(spark):
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([3, 0.5, 0.2], 300), rng.integers(1, 300, 300)
+    made = fitted(compact_of(spark, p, tokens), [0.9, 0.08, 0.02], max_rate=3, margin=1.2, steps=400)
+    assert made.moved < 2e-3 and 3 < len(made.misses) < 400
+    (wanted, reached), *rest = made.report()
+    assert abs(reached / wanted - 1) < 0.02 and np.isclose(reached, (tokens * made.rates(p)) @ p[:, 0])
+
+
+def test_a_scarce_domain_is_raised_within_its_bound(spark):
+    p, tokens = np.array([[0.98, 0.02]] * 50 + [[0.05, 0.95]] * 2), np.full(52, 100)
+    made = fitted(compact_of(spark, p, tokens), [0.5, 0.5], max_rate=3, steps=200)
+    rates = made.rates(p)
+    assert np.allclose(rates[50:], 3) and rates.max() <= 3
+    wanted, reached = made.report()[1]
+    assert reached < wanted        # the bound keeps it short, and the report says so

@@ -55,6 +55,6 @@ def test_odd_documents(spark):
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
