@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.ngrams import counted, log_shares, rows_with, sums_by_text
-from quern.llm.scratch import lean, settled, text_of
+from quern.llm.scratch import settled, text_of
 
 #: Bound of the labelled texts of each domain that the classifier is counted on.
 TEXTS_PER_DOMAIN = 10_000
@@ -28,6 +28,8 @@ STEPS, MOVE = 60, 2e-3
 MAX_RATE = 1.0
 #: The wanted tokens of the domain that is needed whole, against what there is of it.
 MARGIN = 1.01
+#: Documents that a task of a step reads: some 10 MB.
+ROWS = 250_000
 
 
 @dataclass
@@ -111,7 +113,7 @@ def _shares(compact: DataFrame, mixture: Mixture, total: float) -> tuple[np.ndar
             moved = max(moved, move)
         yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array(sums), pa.array([moved] * n)], names=["domain", "tokens", "moved"])
     made, moved = np.zeros(n), 0.0
-    for r in compact.mapInArrow(lean(run), "domain int, tokens double, moved double").groupBy("domain").agg(
+    for r in compact.mapInArrow(run, "domain int, tokens double, moved double").groupBy("domain").agg(
             F.sum("tokens").alias("tokens"), F.max("moved").alias("moved")).collect():   # a row per domain
         made[r["domain"]], moved = r["tokens"], max(moved, r["moved"])
     return made / total, moved
@@ -158,7 +160,9 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text",
 
 
 def mixture_of(docs: DataFrame, model: Classifier, weights: list[float], text_col: str = "text", **how) -> Mixture:
-    return fitted(settled(with_posteriors(docs.select(text_col), model, text_col).select("tokens", "p")), weights, **how)
+    """The mixture for documents. Every step reads their tokens and posteriors alone, ROWS documents in a task."""
+    compact = settled(with_posteriors(docs.select(text_col), model, text_col).select("tokens", "p"))
+    return fitted(compact.coalesce(compact.count() // ROWS + 1), weights, **how)
 
 
 def mixed_documents(docs: DataFrame, model: Classifier, weights: list[float], id_col: str = "doc_id", text_col: str = "text",

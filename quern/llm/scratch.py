@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +44,6 @@ def discard(spark: SparkSession, path: str) -> None:
 def give_back() -> None:
     """Returns what a Python worker has freed to the system: workers stay for later tasks and stages, and
     what they keep counts against their executor."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc only
     if trim:
