@@ -137,3 +137,9 @@ def log_records(text: DataFrame, key: str, start: str, problems: list[str] | Non
     r = r.select(key, "i", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("record"))
     r = r.withColumn("level", F.nullif(F.regexp_extract("record", start, 1), F.lit("")))
     return r if problems is None else r.filter(F.col("level").isin(problems))
+
+
+def newest_records(records: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The ``most`` last records in the order of ``by``, with their place from the newest: each task keeps so many, and those are merged."""
+    last = records.orderBy(*[F.desc(c) for c in by]).limit(most)
+    return last.withColumn("place", F.row_number().over(Window.orderBy(*[F.desc(c) for c in by])))      # ``most`` rows

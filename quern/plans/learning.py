@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quern.functions import text as T, words as W
-from quern.operators import evaluate as V, learn as M, segment as G
+from quern.operators import evaluate as V, learn as M, many as MT, segment as G
 from quern.plans.registry import plan
 from quern.plans.texts import doclines
 from quern.session import checkpoint_dir, cut_lineage
@@ -296,3 +296,23 @@ def _(lib):
     loaded = LogisticRegressionModel.load(M.current_model(root, lib.spark))
     score = lambda m, name: m.transform(rows).select("doc_id", (F.col("y") == 1).alias("truth"), vector_to_array("probability")[1].alias(name))
     return score(fitted, "a").join(score(loaded, "b").drop("truth"), "doc_id").select("doc_id", "truth", (F.col("a") == F.col("b")).alias("same"))
+
+
+def record_tags(lib):
+    """(doc_id, tags): what the labels say, and the language and source of every document."""
+    lab = lib.table("labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    d = lib.documents().select("doc_id", "lang", "source").join(lab, "doc_id", "left")
+    return d.select("doc_id", F.array_compact(F.array(F.when(F.col("q") == 1, "quality"), F.when(F.col("t") == 1, "toxic"), F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))).alias("tags"))
+
+
+@plan("ml10_many_tags")
+def _(lib):
+    """All tags with enough records, at once, in five folds, over every document; what the keywords find is the language's own tag."""
+    tags = cut_lineage(record_tags(lib))
+    each = tags.select("doc_id", F.explode("tags").alias("tag"))
+    n = tags.count()
+    known = M.eligible_tags(each, F.lit(n), each.select("tag").distinct(), W.MAX_TAG_MODELS)
+    y = known.select("tag", F.col("n").alias("pos"), (F.lit(n) - F.col("n")).alias("neg"))
+    positive = {r["tag"]: r["w"] for r in y.select("tag", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("neg") / F.col("pos"))).alias("w")).orderBy("tag").collect()}   # at most MAX_TAG_MODELS
+    got = cut_lineage(MT.out_of_fold(M.hashed(features(lib), ["doc_id"]), tags, positive))
+    return M.tag_report(got, each.filter("tag LIKE 'lang:%'").join(got.select("tag").distinct(), "tag", "left_semi"))

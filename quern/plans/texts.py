@@ -250,3 +250,13 @@ def _(lib):
     words = T.markdown_to_text(F.translate("text", "*_#>`~[-", ""))
     md = F.concat(F.lit("# Title #\n---\n"), words, F.lit("\n> **see** [link](http://x.example/)\n```"))
     return lib.documents().select("doc_id", F.md5(T.markdown_to_text(md)).alias("text_md5"))
+
+
+@plan("src21_newest_records", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^([A-D]\S*)\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS rec FROM l),
+r AS (SELECT doc_id, rec, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS record FROM g GROUP BY ALL)
+SELECT doc_id, i, md5(record) AS record_md5, place FROM (SELECT *, row_number() OVER (ORDER BY doc_id DESC, i DESC) AS place FROM r WHERE regexp_matches(record, '^([A-D]\S*)\s')) WHERE place <= 300""")
+def _(lib):
+    r = L.log_records(lib.documents(), "doc_id", r"^([A-D]\S*)\s").filter("level IS NOT NULL")
+    return L.newest_records(r, ["doc_id", "i"], 300).select("doc_id", "i", F.md5("record").alias("record_md5"), F.col("place").cast("bigint").alias("place"))

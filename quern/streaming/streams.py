@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 from quern.session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Cells that are put in order together.
+RUN_CELLS = 1024
 WINDOW_SECONDS, MAX_REQUESTS, MAX_REPORTS, DEBOUNCE_SECONDS = 60, 120, 20, 120
 
 
@@ -38,15 +40,22 @@ def sliding_count(events: DataFrame, key: str, ts: str, seconds: int) -> DataFra
 def debounced(events: DataFrame, key: str | None, ts: str, gap_seconds: int) -> DataFrame:
     """(key, first_us, last_us, n) of bursts: a pause of the gap or more ends one.
     Events of one cell as wide as the gap are always one burst, so a partial
-    aggregate leaves one row per key and cell before anything is sorted."""
+    aggregate leaves one row per key and cell, and runs of cells are sorted apart, also those of one global key."""
     gap = gap_seconds * 1_000_000
     keys = [key] if key else [F.lit("all").alias("key")]
     name = key or "key"
     cells = (events.select(*keys, micros(ts).alias("us")).groupBy(name, F.floor(F.col("us") / gap).alias("cell"))
              .agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(name).orderBy("cell")
-    starts = F.coalesce(F.col("lo") - F.lag("hi").over(w) >= gap, F.lit(True)).cast("int")
-    d = cells.withColumn("_s", starts).withColumn("burst", F.sum("_s").over(w))
+    # bursts within a run of cells, then the few runs in order: a burst that crosses an edge keeps its number
+    d = cells.withColumn("run", F.floor(F.col("cell") / RUN_CELLS))
+    inside = Window.partitionBy(name, "run").orderBy("cell")
+    starts = F.coalesce(F.col("lo") - F.lag("hi").over(inside) >= gap, F.lit(True)).cast("bigint")
+    d = d.withColumn("_s", starts).withColumn("_b", F.sum("_s").over(inside))
+    runs = Window.partitionBy(name).orderBy("run")
+    edges = (d.groupBy(name, "run").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max("_b").alias("_m"))
+             .withColumn("_joins", F.coalesce(F.col("_lo") - F.lag("_hi").over(runs) < gap, F.lit(False)).cast("bigint"))
+             .withColumn("_off", F.sum(F.col("_m") - F.col("_joins")).over(runs) - F.col("_m")))
+    d = d.join(edges.select(name, "run", "_off"), [name, "run"]).withColumn("burst", F.col("_b") + F.col("_off"))
     return d.groupBy(name, "burst").agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.sum("n").alias("n")).drop("burst")
 
 
@@ -93,7 +102,8 @@ def intake(stream: DataFrame, handle, out: str, checkpoint: str, max_attempts: i
 
 class Quota(StatefulProcessor):
     """At most ``limit`` accepted events in the window; the first refusal is marked
-    and counts too, later ones do not. Idle keys are dropped by the state's TTL."""
+    and counts too, later ones do not. Arrivals are judged as they come and the state stays: ``timed.SlidingCap``
+    judges in time order and clears the log of an idle key."""
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds
