@@ -216,10 +216,12 @@ def _character(entity: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Named and numeric entities decoded once: what becomes "&" comes last, so it
-    begins no new entity."""
-    found = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0))), lambda e: F.struct(e.alias("e"), _character(e).alias("c")))
-    ordered = F.concat(F.filter(found, lambda x: x["c"] != "&"), F.filter(found, lambda x: x["c"] == "&"))
-    return F.aggregate(ordered, c, lambda t, x: F.replace(t, x["e"], x["c"]))
+    begins no new entity. The text is bound by a list of one, so what makes it runs once, and one without "&" stays as it is."""
+    def decoded(t):
+        found = F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))), lambda e: F.struct(e.alias("e"), _character(e).alias("c")))
+        ordered = F.concat(F.filter(found, lambda x: x["c"] != "&"), F.filter(found, lambda x: x["c"] == "&"))
+        return F.aggregate(ordered, t, lambda done, x: F.replace(done, x["e"], x["c"]))
+    return F.get(F.transform(F.array(c), lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t)), F.lit(0))
 
 
 def html_to_text(c: Column) -> Column:

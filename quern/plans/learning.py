@@ -316,3 +316,17 @@ def _(lib):
     positive = {r["tag"]: r["w"] for r in y.select("tag", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("neg") / F.col("pos"))).alias("w")).orderBy("tag").collect()}   # at most MAX_TAG_MODELS
     got = cut_lineage(MT.out_of_fold(M.hashed(features(lib), ["doc_id"]), tags, positive))
     return M.tag_report(got, each.filter("tag LIKE 'lang:%'").join(got.select("tag").distinct(), "tag", "left_semi"))
+
+
+@plan("ml11_library_safeguards", """
+WITH n AS (SELECT recipe_id, list(CAST(quantity AS VARCHAR) || ' ' || unit || ' ' || name ORDER BY position) AS ls FROM v_ingredient GROUP BY recipe_id),
+m AS (SELECT recipe_id, ls, ls[1:greatest(len(ls) - CAST(recipe_id % 4 AS INT), 0)] AS kept FROM n)
+SELECT recipe_id AS doc_id, CASE WHEN recipe_id % 9 = 0 THEN 'no result' WHEN len(kept) = 0 THEN 'no ingredients' WHEN len(list_filter(ls, lambda x: NOT list_contains(kept, x))) >= 2 THEN 'measured lines lost' ELSE 'model' END AS outcome,
+ array_to_string(CASE WHEN recipe_id % 9 > 0 AND len(kept) > 0 AND len(list_filter(ls, lambda x: NOT list_contains(kept, x))) < 2 THEN list_transform(kept, lambda x: upper(x)) ELSE ls END, '|') AS ingredients FROM m""")
+def _(lib):
+    """A model that loses the last lines of some records of the library and changes the case of all, and has no answer for others."""
+    ls = lib.lines().groupBy(F.col("recipe_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "raw_line"))).alias("ls"))
+    rules = ls.select("doc_id", F.transform("ls", lambda x: x["raw_line"]).alias("ingredients"), F.array(F.lit("Mix well.")).alias("steps"))
+    kept = F.slice("ingredients", F.lit(1), F.greatest(F.size("ingredients") - (F.col("doc_id") % 4).cast("int"), F.lit(0)))
+    model = rules.filter("doc_id % 9 > 0").select("doc_id", F.transform(kept, lambda x: F.upper(x)).alias("ingredients"), "steps")
+    return M.safeguarded(rules, model).select("doc_id", "outcome", F.array_join("ingredients", "|").alias("ingredients"))

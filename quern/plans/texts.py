@@ -260,3 +260,16 @@ SELECT doc_id, i, md5(record) AS record_md5, place FROM (SELECT *, row_number()
 def _(lib):
     r = L.log_records(lib.documents(), "doc_id", r"^([A-D]\S*)\s").filter("level IS NOT NULL")
     return L.newest_records(r, ["doc_id", "i"], 300).select("doc_id", "i", F.md5("record").alias("record_md5"), F.col("place").cast("bigint").alias("place"))
+
+
+@plan("seg3_library_texts", """
+SELECT recipe_id AS doc_id, 'both headings' AS route, 'Plain Dish Number ' || recipe_id AS title, string_agg(CAST(quantity AS VARCHAR) || ' ' || unit || ' ' || name, '|' ORDER BY position) AS ingredients,
+ string_agg('Mix the ' || name || ' with part ' || (position + 1) || '.', '|' ORDER BY position) AS steps, CAST(2 + recipe_id % 7 AS VARCHAR) AS servings FROM v_ingredient GROUP BY recipe_id""")
+def _(lib):
+    """Every record of the library written out as a text and read back: title, all items, all steps and servings."""
+    listed = lib.lines().groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("ord", "raw_line", "name"))).alias("ls"))
+    step = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Mix the "), x["name"], F.lit(" with part "), (i + 1).cast("string"), F.lit("."))
+    text = F.concat(F.lit("Plain Dish Number "), F.col("recipe_id").cast("string"), F.lit("\nServes "), (2 + F.col("recipe_id") % 7).cast("string"), F.lit("\nIngredients\n"),
+                    F.array_join(F.transform("ls", lambda x: x["raw_line"]), "\n"), F.lit("\nInstructions\n"), F.array_join(F.transform("ls", step), "\n"))
+    s = G.segment(listed.select(F.col("recipe_id").alias("doc_id"), text.alias("text")))
+    return s.select("doc_id", "route", "title", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("steps", "|").alias("steps"), "servings")
