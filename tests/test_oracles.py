@@ -8,7 +8,10 @@ from check import compare, connect
 
 PATH = os.environ.get("QUERN_TEST_DATA", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
-NAMES = [n for n in entry.queries() if n in SQL and not n.startswith("op")]
+# slow twins of operators that a quicker twin or a test of their own covers; check.py runs them, too
+SLOW = {"agg2_facet_order", "agg12_transitions", "agg14_content_accuracy", "enr3_keyword_tags", "enr13_volume_to_mass", "enr14_mass_to_volume", "flt8_out_of_season", "ml8_training_examples",
+        "ml9_adoption", "seg10_message_source", "set4_bulk_auto_tag", "src4_tier_fallback", "src12_export_round_trip", "udf1_pluggable_segmenter", "udf3_user_keywords"}
+NAMES = [n for n in entry.queries() if n in SQL and not n.startswith("op") and n not in SLOW]
 
 
 @pytest.fixture(scope="module")
