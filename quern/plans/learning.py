@@ -314,7 +314,8 @@ def _(lib):
     known = M.eligible_tags(each, F.lit(n), each.select("tag").distinct(), W.MAX_TAG_MODELS)
     y = known.select("tag", F.col("n").alias("pos"), (F.lit(n) - F.col("n")).alias("neg"))
     positive = {r["tag"]: r["w"] for r in y.select("tag", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("neg") / F.col("pos"))).alias("w")).orderBy("tag").collect()}   # at most MAX_TAG_MODELS
-    got = cut_lineage(MT.out_of_fold(M.hashed(features(lib), ["doc_id"]), tags, positive))
+    # 250 models at most: fewer hash columns keep the matrix at 4 MB
+    got = cut_lineage(MT.out_of_fold(M.hashed(features(lib), ["doc_id"], 4096), tags, positive, dim=4096, close=1e-3))
     return M.tag_report(got, each.filter("tag LIKE 'lang:%'").join(got.select("tag").distinct(), "tag", "left_semi"))
 
 
