@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm.fingerprints import mixed
-from quern.llm.minhash import _links, band_keys, components, near_classes, weighted_jaccard, weighted_samples
+from quern.llm.minhash import _links, band_keys, components, near_classes, short_vector, weighted_jaccard, weighted_samples
 from quern.llm.words import shingles, token_hashes, word_hashes
 
 from .common import empty, odd_texts, table
@@ -165,6 +165,24 @@ def test_components(spark):
     assert found == {k: min(g) for k, g in groups.items()}
 
 
+def test_long_near_copies_whose_short_keys_agree(spark):
+    """Of 250,000 shingles some agree in the 32 bits that comparisons use."""
+    rng = np.random.default_rng(5)
+    words = [f"w{n}" for n in rng.integers(0, 1 << 40, 250_000)]
+    keys, _ = shingles(*word_hashes([" ".join(words).encode()]))
+    assert len(np.unique(keys.astype(np.uint32))) < len(np.unique(keys))
+    short, weights = short_vector(np.array([7, 5, 7 + (1 << 32)], np.uint64), np.array([1.0, 2.0, 4.0]))
+    assert short.tolist() == [5, 7] and weights.tolist() == [2.0, 5.0]
+    texts = [" ".join(words), " ".join([*words, "tail"]), " ".join(words[:1000]), "other words in a text of its own"]
+    found = {r["id"]: r["class_id"] for r in near_classes(table(spark, texts)).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_blocks_of_two_or_three_words(spark):
+    for text in ("two words", "now three words", "a b"):
+        assert [r["class_id"] for r in near_classes(table(spark, [text, text])).collect()] == [0, 0]
+
+
 def test_null_identifiers_and_empty(spark):
     texts = ["a b c d e f", "A b, c d e f", "a b c d e f", None, "", "no words like it"]
     found = near_classes(table(spark, texts, ids=[None, 7, 3, 1, None, 3])).collect()
