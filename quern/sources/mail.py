@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import email
+import email.parser
 import email.policy
 
 import pandas as pd
@@ -41,6 +42,13 @@ def _parts(raw: str | None) -> tuple:
     return header("subject"), header("from"), header("message-id"), first.get("text/plain"), first.get("text/html"), attachments
 
 
+@F.pandas_udf(StringType())
+def _subject(raw: pd.Series) -> pd.Series:
+    """The subjects alone: the parts of a message aren't looked at."""
+    heads = [email.parser.HeaderParser(policy=email.policy.default).parsestr(r) if r and r.strip() else {} for r in raw]
+    return pd.Series([None if m.get("subject") is None else str(m["subject"]) for m in heads], dtype=object)
+
+
 @F.pandas_udf(PARTS)
 def _parsed(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parts(r) for r in raw], columns=PARTS.names)
@@ -48,9 +56,10 @@ def _parsed(raw: pd.Series) -> pd.DataFrame:
 
 def messages(raw: DataFrame, column: str, keyword: str | None = None) -> DataFrame:
     """``raw`` with the decoded subject, sender, msg_id, plain and html parts and the number of attachments in place of ``column``;
-    with a ``keyword`` only messages whose subject holds it, in any case. Null and blank messages have no parts."""
-    d = raw.withColumn("_m", _parsed(F.col(column))).select(*[c for c in raw.columns if c != column], "_m.*")
-    return d if keyword is None else d.filter(F.lower("subject").contains(keyword.lower()))
+    with a ``keyword`` only messages whose subject holds it, in any case, and only these are taken apart. Null and blank messages have no parts."""
+    if keyword is not None:
+        raw = raw.withColumn("_s", _subject(F.col(column))).filter(F.lower("_s").contains(keyword.lower())).drop("_s")
+    return raw.withColumn("_m", _parsed(F.col(column))).select(*[c for c in raw.columns if c != column], "_m.*")
 
 
 def body_text(plain: Column, html: Column) -> Column:
