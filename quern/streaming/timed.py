@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -131,47 +132,100 @@ class CooledDigest(InOrder):
         return made, last + self.cooldown
 
 
-class Landing(InOrder):
+class Landing(StatefulProcessor):
     """Messages by identifier, each handled once however often it is delivered. ``attempt(body, number)`` gives ok, failed or
     transient; a transient failure is tried again after a pause that doubles, until the attempts are used up. The mark that a
-    message is done goes after ``keep`` seconds without a delivery."""
+    message is done goes after ``keep`` seconds without a delivery. One without a time is tried at once.
 
-    arrival, output = "us bigint, body string", ["msg_id", "status", "attempts", "us"]
+    Most messages come once, and calls to the state store cost more than handling them. So the key is a bucket of identifiers:
+    its waiting deliveries and the messages not yet forgotten are tables in a few values, with one timer."""
 
     def __init__(self, attempt: Callable[[str, int], str], most: int, pause: int, keep: int):
         self.attempt, self.most, self.pause, self.keep = attempt, most, pause * SECOND, keep * SECOND
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "attempts bigint, due bigint, done boolean, body string")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "deliveries binary")
+        self.known = handle.getValueState("known", "messages binary")
 
-    def judge(self, key, arrivals, now):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.waiting.appendValue((_packed(DELIVERY, [part[n] for n in DELIVERY.names]),))
+        yield from self._advance(timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(timerValues)
+
+    def _advance(self, timers) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentWatermarkInMs() * 1000
+        held = [r for (packed,) in self.waiting.get() for r in _rows(DELIVERY, packed)]
+        later = [r for r in held if r[1] is not None and r[1] > now]
+        ready: dict[str | None, list[tuple]] = {}
+        for msg, us, body in held if len(later) < len(held) else ():
+            if us is None or us <= now:
+                ready.setdefault(msg, []).append((us, body))
+        known = {r[0]: r[1:] for r in _rows(MESSAGE, self.known.get()[0])} if self.known.exists() else {}
+        called = [m for m in known.keys() | ready.keys() if m in ready or known[m][1] <= now]
+        made = [x for m in called for x in self.judge(m, known, sorted(ready.get(m, ()), key=lambda a: (a[0] is not None, a[0] or 0, a[1] or "")), now)]
+        if ready:
+            self.waiting.put([(_packed(DELIVERY, zip(*later)),)]) if later else self.waiting.clear()
+        if known and called:
+            self.known.update((_packed(MESSAGE, zip(*[(m, *x) for m, x in known.items()])),))
+        elif called:
+            self.known.clear()
+        times = [x[1] for x in known.values()] + [r[1] for r in later]
+        wanted = -(-min(times) // 1000) if times else None
+        set_ = list(self.handle.listTimers())
+        for t in set_:
+            if t != wanted:
+                self.handle.deleteTimer(t)
+        if wanted is not None and wanted not in set_:
+            self.handle.registerTimer(wanted)
+        if made:
+            yield pd.DataFrame(made, columns=["msg_id", "status", "attempts", "us"]).astype({"us": "Int64"})
+
+    def judge(self, msg: str | None, known: dict, arrivals: list[tuple], now: int) -> list[tuple]:
+        """What becomes of a message up to now; its state in ``known`` is brought up to date."""
         made = []
-        if not self.state.exists():
-            if not arrivals:
-                return made, None
-            attempts, due, done, body = 0, arrivals[0][0], False, arrivals[0][1]
-        else:
-            attempts, due, done, body = self.state.get()
+        timeless = msg not in known and arrivals[0][0] is None
+        attempts, due, done, body = known.get(msg) or (0, now if timeless else arrivals[0][0], False, arrivals[0][1])
         while not done and due <= now:
             attempts += 1
             status = self.attempt(body, attempts)
             if status == "transient" and attempts < self.most:
-                due += self.pause << (attempts - 1)
+                due += 0 if timeless else self.pause << (attempts - 1)
                 continue
-            made.append((key[0], "ok" if status == "ok" else "failed", attempts, due))
+            made.append((msg, "ok" if status == "ok" else "failed", attempts, None if timeless else due))
             done, due, body = True, due + self.keep, None
-        if done and arrivals:
+        if done and arrivals and arrivals[-1][0] is not None:
             due = max(due, arrivals[-1][0] + self.keep)
         if done and due <= now:
-            self.state.clear()
-            return made, None
-        self.state.update((attempts, due, done, body))
-        return made, due
+            known.pop(msg, None)
+        else:
+            known[msg] = (attempts, due, done, body)
+        return made
+
+    def close(self) -> None:
+        pass
+
+
+#: The tables that a bucket of messages keeps.
+DELIVERY = pa.schema({"msg": pa.string(), "us": pa.int64(), "body": pa.string()})
+MESSAGE = pa.schema({"msg": pa.string(), "attempts": pa.int64(), "due": pa.int64(), "done": pa.bool_(), "body": pa.string()})
+
+
+def _packed(schema: pa.Schema, columns) -> bytes:
+    table = pa.record_batch([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return table.serialize().to_pybytes()
+
+
+def _rows(schema: pa.Schema, packed: bytes) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in pa.ipc.read_record_batch(pa.py_buffer(packed), schema).columns])
 
 
-def _run(events: DataFrame, processor: InOrder, schema: str) -> DataFrame:
+def _run(events: DataFrame, processor: StatefulProcessor, schema: str, key: str = "key") -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return events.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def capped(events: DataFrame, key: str, limit: int, seconds: int, mark: bool = False, closed: bool = False, delay: str = "1 hour") -> DataFrame:
@@ -186,10 +240,12 @@ def digests(results: DataFrame, key: str, seconds: int, delay: str = "1 hour") -
     return _run(e, CooledDigest(seconds), "key string, us bigint, succeeded bigint, failed bigint, kind string")
 
 
-def landed(messages: DataFrame, attempt: Callable[[str, int], str], most: int = 3, pause: int = 300, keep: int = 7 * 86400, delay: str = "1 hour") -> DataFrame:
-    """messages(msg_id, ts, body) stream -> (msg_id, status ok or failed, attempts, us of the last attempt), one row per message."""
-    e = messages.withWatermark("ts", delay).select(F.col("msg_id").cast("string").alias("key"), "ts", micros("ts").alias("us"), "body")
-    return _run(e, Landing(attempt, most, pause, keep), "msg_id string, status string, attempts bigint, us bigint")
+def landed(messages: DataFrame, attempt: Callable[[str, int], str], most: int = 3, pause: int = 300, keep: int = 7 * 86400, delay: str = "1 hour", buckets: int = 512) -> DataFrame:
+    """messages(msg_id, ts, body) stream -> (msg_id, status ok or failed, attempts, us of the last attempt), one row per message. A bucket's
+    messages are held by a task together, so ``buckets`` goes with the number of messages that wait."""
+    msg = F.col("msg_id").cast("string")
+    e = messages.withWatermark("ts", delay).select(F.pmod(F.xxhash64(msg), F.lit(buckets)).alias("bucket"), msg.alias("msg"), "ts", micros("ts").alias("us"), "body")
+    return _run(e, Landing(attempt, most, pause, keep), "msg_id string, status string, attempts bigint, us bigint", "bucket")
 
 
 def closed_by(events: DataFrame, heartbeat: str, key: str, beyond: str = "3650 days") -> DataFrame:

@@ -17,7 +17,7 @@ def streamed(spark, tmp_path, batches, schema, make):
     for n, rows in enumerate(batches):
         kinds = {"long": pa.int64(), "double": pa.timestamp("us", "UTC"), "string": pa.string(), "boolean": pa.bool_()}
         fields = [c.split() for c in schema.split(", ")]
-        columns = [[round(v * 1e6) if name == "ts" else v for v in column] for (name, _), column in zip(fields, zip(*rows))]
+        columns = [[round(v * 1e6) if name == "ts" and v is not None else v for v in column] for (name, _), column in zip(fields, zip(*rows))]
         pq.write_table(pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields]), folder / f"{n:03d}.parquet")
         os.utime(folder / f"{n:03d}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
     source = spark.readStream.schema(schema.replace("ts double", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}")
@@ -76,6 +76,21 @@ def test_messages_land_once(spark, tmp_path):
     assert found == [("m1", "ok", 1, 100), ("m2", "ok", 3, 1000), ("m3", "failed", 1, 110), ("m4", "failed", 3, 1020)]
 
 
+def test_messages_share_buckets(spark, tmp_path):
+    """Messages of one bucket are judged apart: by their own time, repeated, late or without a time."""
+    def attempt(body, number):
+        return "transient" if body is None or body.endswith("3") and number < 3 else "ok"
+
+    rows = [(f"m{k}", 1000.0 + 60 * (k % 7), f"body {k}") for k in range(200)] + [("none", 500.0, None), ("timeless", None, "body 3")]
+    again = [(m, t + 300 if t else t, b) for m, t, b in rows[::3]]
+    got = streamed(spark, tmp_path, [rows, again, [("m5", 9000.0, "body 5")], [(None, 10_000.0 * DAY, "beat")]], "msg_id string, ts double, body string",
+                   lambda s: TM.landed(s, attempt, buckets=2))
+    found = {r["msg_id"]: (r["status"], r["attempts"], r["us"] and r["us"] // 1_000_000) for r in got if r["msg_id"]}
+    assert len([r for r in got if r["msg_id"]]) == len(found) == 202
+    assert found == {f"m{k}": ("ok", 3 if k % 10 == 3 else 1, 1000 + 60 * (k % 7) + (900 if k % 10 == 3 else 0)) for k in range(200)} | {
+        "none": ("failed", 3, 1400), "timeless": ("ok", 3, None)}
+
+
 def test_mail(spark):
     from quern.sources import mail
     plain = "Subject: =?iso-8859-1?Q?Caf=E9_menu?=\nFrom: a@b.org\n\nfirst line\nsecond"
