@@ -43,3 +43,18 @@ def test_letter_triples(spark):
     assert "substring(folded" not in plan_of(f)
     got = {r["i"]: sorted(x["name"][2:] for x in r["feats"] if x["name"].startswith("c:")) for r in f.collect()}
     assert got == {0: sorted([" a😀", "a😀b", "😀b ", "b c", " c "]), 1: [" e "]}
+
+
+def test_line_features_are_hashed_in_their_row(spark):
+    rng = random.Random(5)
+    rows = [(d, i, " ".join(rng.choice(["egg", "Mix", "the", "2 cups", "oven."]) for _ in range(6)), "step") for d in (1, 1, 2, 3, None) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, i long, line string, rule string")
+    one = M.line_features(d)
+    apart = M.hashed(M.feature_cells(one), ["doc_id", "i"], 64)
+    inside = M.hashed(one, ["doc_id", "i"], 64)
+    assert plan_of(inside).count("Exchange hashpartitioning") <= 1 and "Generate" not in plan_of(inside)
+    cells = {(r["doc_id"], r["i"], c): v for r in inside.collect() for c, v in zip(r["cols"], r["vals"], strict=True)}
+    want = {(r["doc_id"], r["i"], r["col"]): r["value"] for r in apart.collect()}
+    assert cells.keys() == want.keys() and all(abs(cells[k] - v) < 1e-9 for k, v in want.items())
+    vector = {(r["doc_id"], r["i"]): r["features"] for r in M.vectors(M.hashed(one, ["doc_id", "i"]), ["doc_id", "i"]).collect()}
+    assert len(vector) == 20 and all(list(v.indices) == sorted(set(v.indices)) for v in vector.values())
