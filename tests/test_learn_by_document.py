@@ -1,5 +1,8 @@
 """Features and alignment shuffle texts once, and no rows of words after that."""
+import math
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -58,3 +61,40 @@ def test_line_features_are_hashed_in_their_row(spark):
     assert cells.keys() == want.keys() and all(abs(cells[k] - v) < 1e-9 for k, v in want.items())
     vector = {(r["doc_id"], r["i"]): r["features"] for r in M.vectors(M.hashed(one, ["doc_id", "i"]), ["doc_id", "i"]).collect()}
     assert len(vector) == 20 and all(list(v.indices) == sorted(set(v.indices)) for v in vector.values())
+
+
+def test_record_features_are_counted_in_their_row(spark):
+    rows = [(1, "Eggs eggs 12 b a_b"), (1, "a b c"), (2, "7 8"), (3, None), (4, ""), (5, "x"), (None, "two eggs"), (6, "é 3 Ünder é1 ４ x\nsalt salt salt")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for d, t in rows:
+        ws = re.findall(r"\w+", "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if not unicodedata.combining(c)))
+        plain = [not re.fullmatch("[0-9]+", w) for w in ws]
+        found = [(w, 0.5) for w, ok in zip(ws, plain) if ok and len(w) > 1] + [(f"{a}_{b}", 0.25) for a, b, p, q in zip(ws, ws[1:], plain, plain[1:]) if p and q]
+        for name, v in found if d is not None else []:
+            at = want.setdefault(d, {})
+            at["s:" + name] = at.get("s:" + name, 0) + v
+    for d, at in want.items():
+        norm = math.sqrt(sum(math.log1p(v) ** 2 for v in at.values()))
+        want[d] = {n: 3 * math.log1p(v) / norm for n, v in at.items()}
+    got = {}
+    for r in M.record_features(docs, {"text": ("s:", 0.5)}).collect():
+        got.setdefault(r["doc_id"], {})[r["name"]] = r["value"]
+    assert {d: set(x) for d, x in got.items()} == {d: set(x) for d, x in want.items()}
+    assert all(abs(got[d][n] - v) < 1e-12 for d, x in want.items() for n, v in x.items())
+    many = spark.range(100).hint("merge").selectExpr("id AS doc_id", "array('t') AS tags")
+    columns = M.record_columns(docs, {"text": ("s:", 0.5)}, 16, many)
+    assert plan_of(columns).count("Exchange hashpartitioning") == 2 and "Generate" not in plan_of(columns)
+    cells = {(r["doc_id"], r["col"]): r["value"] for r in M.hashed(M.record_features(docs, {"text": ("s:", 0.5)}), ["doc_id"], 16).collect()}
+    inside = columns.collect()
+    assert all(list(r["cols"]) == sorted(set(r["cols"])) for r in inside) and len(inside) == len(want)
+    inside = {(r["doc_id"], c): v for r in inside for c, v in zip(r["cols"], r["vals"])}
+    assert set(inside) == set(cells) and all(abs(inside[k] - v) < 1e-12 for k, v in cells.items())
+
+
+def test_a_fit_has_no_more_tasks_than_cores(spark):
+    docs = spark.createDataFrame([(d, "fish soup" if d % 2 else "apple pie") for d in range(40)], "doc_id long, text string")
+    rows = M.vectors(M.record_columns(docs, {"text": ("s:", 0.5)}), ["doc_id"]).withColumn("tags", F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("fish"))).otherwise(F.array().cast("array<string>")))
+    scores = M.out_of_fold(rows.repartition(16), {"fish": 1.0}, 2)
+    assert "Coalesce" in plan_of(scores)
+    assert {r["doc_id"]: r["p"] > 0.5 for r in scores.collect()} == {d: d % 2 == 1 for d in range(40)}
