@@ -40,6 +40,18 @@ def test_alignment_makes_no_row_per_word(spark):
     assert [tuple(r) for r in coverage.filter("doc_id = 1").select("ni", "ns", "cov_ing", "cov_step").collect()] == [(1, 1, 1.0, 1.0)]
 
 
+def test_alignment_shuffles_texts_once(spark):
+    lines = spark.createDataFrame([(d, i, t) for d in (1, 2, None) for i, t in enumerate(["Big Pie", "two eggs", "1", "mix the eggs well"])], "doc_id long, i long, line string")
+    items = spark.createDataFrame([(1, "step", 0, "mix the eggs well"), (3, "step", 0, "mix"), (None, "step", 0, "two eggs")], "doc_id long, label string, k long, text string")
+    labels, coverage = M.align(lines, items)
+    plan = plan_of(labels.select("doc_id", "i", "label"))
+    # lines and items go to their document together; the windows afterwards sort no texts
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    assert "RLIKE" in plan and "line#" not in plan.split("RLIKE")[0]
+    assert {(r["doc_id"], r["i"]): r["label"] for r in labels.collect()} == {(d, i): "step" if d == 1 and i > 1 else "other" for d in (1, 2, None) for i in range(4)}
+    assert sorted((r["doc_id"] or 0, r["cov_step"]) for r in coverage.collect()) == [(0, 0.0), (1, 1.0), (3, 0.0)]
+
+
 def test_letter_triples(spark):
     lines = spark.createDataFrame([(1, 0, "a😀b c"), (1, 1, "é")], "doc_id long, i long, line string").withColumn("rule", F.lit("step"))
     f = M.line_features(lines)
