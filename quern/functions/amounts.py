@@ -173,6 +173,11 @@ _ISO = r"(?i)^P(?:\d+D)?(?:T(?:\d+H)?(?:\d+M)?(?:\d+S)?)?$"
 _PART = r"(?i)(\d+(?:[.,]\d+)?)\s*(days?|d|jours?|j|hours?|heures?|hrs?|h|minutes?|mins?|m)\b"
 
 
+def bound(c: Column, use) -> Column:
+    """``use`` of a value that is named more than once there and computed once: an item of a list of one."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def text_minutes(c: Column) -> Column:
     """Minutes of "1 hr 20 min", "45", "1 h 30"; null when unreadable."""
     t = F.trim(c)
@@ -184,19 +189,17 @@ def text_minutes(c: Column) -> Column:
         F.lit(0.0), lambda a, x: a + x)
     short = r"(?i)^(\d+)\s*h\s*(\d+)$"
     exact = (F.regexp_extract(t, short, 1).try_cast("double") * 60 + F.regexp_extract(t, short, 2).try_cast("double"))
-    return (F.when(t.rlike(r"^\d+$"), t.try_cast("double")).when(t.rlike(short), F.when(exact > 0, exact))
-            .when((F.size(nums) > 0) & (total > 0), total))
+    positive = lambda x: F.when(x > 0, x)
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("double")).when(t.rlike(short), bound(exact, positive)).otherwise(bound(total, positive))
 
 
 def iso_duration(c: Column) -> Column:
     t = F.trim(c)
-    total = F.rint(text_minutes(t)).cast("bigint")
-    h, m = F.floor(total / 60), total % 60
-    iso = F.concat(F.lit("PT"), F.when(h > 0, F.concat(h.cast("string"), F.lit("H"))).otherwise(""),
-                   F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
+    part = lambda n, letter: F.when(n > 0, F.concat(n.cast("string"), F.lit(letter))).otherwise("")
+    iso = lambda n: F.when(n.isNotNull(), F.concat(F.lit("PT"), part(F.floor(n / 60), "H"), part(n % 60, "M")))
     return (F.when(t.rlike(_ISO) & ~F.upper(t).isin("P", "PT"), F.upper(t))
             .when(t.rlike(r"^\d+$"), F.concat(F.lit("PT"), t.try_cast("bigint").cast("string"), F.lit("M")))
-            .when(total.isNotNull(), iso))
+            .otherwise(bound(F.rint(text_minutes(t)).cast("bigint"), iso)))
 
 
 _DDHHMM = r"^\s*(?:(\d+):)?(\d+):(\d+)\s*$"

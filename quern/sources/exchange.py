@@ -92,7 +92,8 @@ def to_schema_org(records: DataFrame, ext: str = EXT) -> DataFrame:
         F.when(F.col("source_url").rlike("(?i)^https?://"), F.col("source_url")).alias("url"), F.col("notes").alias("description"),
         F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("dateCreated"),
         F.struct(F.lit(1).alias("version"), "notes", "favorite", "tastiness_rating", "prep_time", "cook_time", "total_time").alias(ext)))
-    body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"recipeInstructions":['), F.array_join(parts, ","), F.lit("]}"))
+    # the closing brace goes by a pattern: cutting by the length would make the object twice
+    body = F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"recipeInstructions":['), F.array_join(parts, ","), F.lit("]}"))
     return records.select("id", F.concat(T.file_stem(F.col("title"), F.col("id")), F.lit(".json")).alias("file"), body.alias("body"))
 
 

@@ -25,8 +25,13 @@ def kinds(v: Column) -> Column:
     return F.coalesce(get(v, "$['@type']", "array<string>"), F.array_compact(F.array(get(v, "$['@type']", "string"))))
 
 
+def kinds_of(type_: Column) -> Column:
+    return F.coalesce(get(type_, "$", "array<string>"), F.array_compact(F.array(get(type_, "$", "string"))))
+
+
 def clean_text(c: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(c, r"(?i)<\s*(?:br|/p|/li|/div|/h[1-6])\b[^>]*>", " "), "<[^>]+>", "")
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?i)<\s*(?:br|/p|/li|/div|/h[1-6])\b[^>]*>", " "), "<[^>]+>", "")
+    t = F.when(c.contains("<"), bare).otherwise(c)
     return F.nullif(T.squeeze(F.translate(T.unescape(t), " ", " ")), F.lit(""))
 
 
@@ -42,20 +47,30 @@ def text_lines(c: Column) -> Column:
 _ITEM = "array<struct<v:variant,line:string,level:int>>"
 
 
-def _opened(x: Column) -> Column:
-    """One item of a step list, opened: a list gives its members, a section its heading and
-    members one level deeper, anything else its text. Texts are taken as they are and cleaned at the end."""
-    v = x["v"]
+#: What is asked of an object among the steps, taken in one pass over its fields.
+_FIELDS = "struct<`@type`:variant,text:string,name:string,itemListElement:variant>"
+
+
+def _opened(items: Column) -> Column:
+    """The items of a step list, opened one level: a list gives its members, a section its heading and
+    members one level deeper, anything else its text. Texts are taken as they are and cleaned at the end.
+
+    A lambda computes a value each time it is named, so what is asked of a variant more than once is a field first."""
     item = lambda value, line, at: F.struct(value.alias("v"), line.alias("line"), at.cast("int").alias("level"))
     no_line, no_value = F.lit(None).cast("string"), F.lit(None).cast("variant")
-    text, inner = get(v, "$.text", "string"), get(v, "$.itemListElement", "variant")
-    parts = F.coalesce(as_list(inner), F.when(get(inner, "$", "map<string,variant>").isNotNull(), F.array(inner)))
-    is_object = get(v, "$", "map<string,variant>").isNotNull()
-    section = is_object & F.coalesce(F.array_contains(kinds(v), "HowToSection") | (parts.isNotNull() & text.isNull()), F.lit(False))
-    heading = F.array(item(no_value, get(v, "$.name", "string"), -(x["level"] + 1)))
-    members = lambda of, deeper: F.transform(F.coalesce(of, F.array().cast("array<variant>")), lambda m: item(m, no_line, x["level"] + deeper))
-    plain = F.array(item(no_value, F.when(is_object, F.coalesce(text, get(v, "$.name", "string"))).otherwise(get(v, "$", "string")), x["level"]))
-    return F.when(v.isNull(), F.array(x)).when(section, F.concat(heading, members(parts, 1))).when(as_list(v).isNotNull(), members(as_list(v), 0)).otherwise(plain)
+    inner = lambda x: x["o"]["itemListElement"]
+    parts = lambda x: F.coalesce(as_list(inner(x)), F.when(get(inner(x), "$", "struct<name:string>").isNotNull(), F.array(inner(x))))
+    read = F.transform(items, lambda x: F.struct(x.alias("x"), get(x["v"], "$", _FIELDS).alias("o"), as_list(x["v"]).alias("list")))
+    read = F.transform(read, lambda x: F.struct(x["x"].alias("x"), x["o"].alias("o"), x["list"].alias("list"), parts(x).alias("parts")))
+
+    def open_(r):
+        x, o = r["x"], r["o"]
+        section = o.isNotNull() & F.coalesce((r["parts"].isNotNull() & o["text"].isNull()) | F.array_contains(kinds_of(o["@type"]), "HowToSection"), F.lit(False))
+        heading = F.array(item(no_value, o["name"], -(x["level"] + 1)))
+        members = lambda of, deeper: F.transform(F.coalesce(of, F.array().cast("array<variant>")), lambda m: item(m, no_line, x["level"] + deeper))
+        plain = F.array(item(no_value, F.when(o.isNotNull(), F.coalesce(o["text"], o["name"])).otherwise(get(x["v"], "$", "string")), x["level"]))
+        return F.when(x["v"].isNull(), F.array(x)).when(section, F.concat(heading, members(r["parts"], 1))).when(r["list"].isNotNull(), members(r["list"], 0)).otherwise(plain)
+    return F.flatten(F.transform(read, open_))
 
 
 def _cleaned(items: Column) -> Column:
@@ -93,7 +108,7 @@ def flat_steps(rows: DataFrame, column: str, into: str = "steps", most_depth: in
     frontier, done, opened = rows.select(*others, first.alias("_items")), [], 0
     step = [F.col("_items")]
     for _ in range(AT_ONCE):
-        step.append(F.flatten(F.transform(step[-1], _opened)))
+        step.append(_opened(step[-1]))
     is_open = F.exists("_items", lambda x: x["v"].isNotNull()).alias("_open")
     while opened <= most_depth:
         n = min(AT_ONCE, most_depth + 1 - opened)
