@@ -93,6 +93,22 @@ def test_a_near_copy_beside_few_and_many_copies(spark):
         assert found[201]["class_size"] == 1
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Three words of 400 differ in each: their number does not part them, and other texts stay alone."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2_000)]
+    other = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(400)]
+    for copies in (5, 300):
+        near = []
+        for k in range(copies):
+            at = rng.sample(range(10, 390), 3)
+            near.append(" ".join(f"edit{k}" if n in at else w for n, w in enumerate(base)))
+        found = near_classes(table(spark, [*near, *other])).collect()
+        assert {r["class_id"] for r in found if r["id"] < copies} == {0} and all(r["class_size"] == copies for r in found if r["id"] < copies)
+        assert all(r["class_size"] == 1 for r in found if r["id"] >= copies)
+
+
 def chained(spark, n):
     """n nodes of one bucket of which neighbours alone are similar, and one that is like none; all samples agree, so every pair is a candidate."""
     rows, same = [], np.zeros(80, np.uint16).tobytes()
