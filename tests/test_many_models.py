@@ -76,3 +76,20 @@ def test_passes_do_not_grow_with_tags(spark):
     all_of_them = many.fit_many(rows, {"a": 1.0, "b": 1.0, "c": 1.0} | {f"t{k}": 1.0 for k in range(47)}, 5, dim=60)
     assert all_of_them.weights.shape == (60, 250) and all_of_them.passes <= one.passes + 12
     rows.unpersist()
+
+
+def test_more_tags_than_one_run_fits(spark):
+    cells, labels = frames(spark)
+    rows = {most: {(r["doc_id"], r["tag"]): (r["p"], r["truth"]) for r in many.out_of_fold(cells, labels, POSITIVE, 2, most=most, dim=60, close=1e-6).collect()} for most in (2, 500)}
+    assert rows[2].keys() == rows[500].keys() and len(rows[2]) == 161 * 3
+    assert all(abs(p - rows[500][k][0]) < 1e-3 and truth == rows[500][k][1] for k, (p, truth) in rows[2].items())
+
+
+def test_every_able_tag_gets_a_model(spark, tmp_path):
+    """Sixty sources: all have a line in the report, not the fifty most used."""
+    from quern.plans import registry
+    docs = [(d, f"text of number {d % 60} and {d}", ["en", "fr"][d % 2], f"source{d % 60:02}", 20) for d in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, d % 2, int(d % 5 == 0)) for d in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = [r["tag"] for r in registry.queries()["ml10_many_tags"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted([*(f"source:source{k:02}" for k in range(60)), "lang:en", "lang:fr", "quality", "toxic"])
