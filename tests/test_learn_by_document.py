@@ -110,3 +110,18 @@ def test_a_fit_has_no_more_tasks_than_cores(spark):
     scores = M.out_of_fold(rows.repartition(16), {"fish": 1.0}, 2)
     assert "Coalesce" in plan_of(scores)
     assert {r["doc_id"]: r["p"] > 0.5 for r in scores.collect()} == {d: d % 2 == 1 for d in range(40)}
+
+
+def test_hashed_columns_are_counted_in_the_document(spark, tmp_path):
+    """The same cells as from a row per word, without a shuffle or a sort of words."""
+    from quern.plans import learning, registry
+    from quern.model import Library
+    texts = ["two words and two more 12 words", "", None, "a b", "one", "two words and two more 12 words", "12 34"]
+    rows = [(d, t, "en", "s", 1) for d, t in zip([1, 2, 3, 4, 5, 1, None], texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["ml3_hashed_columns"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Window" not in plan
+    want = M.hashed(learning.features(Library(spark, str(tmp_path))), ["doc_id"]).withColumn("value", F.round("value", 6))
+    assert found.dtypes == want.dtypes
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 10
