@@ -125,3 +125,19 @@ def test_hashed_columns_are_counted_in_the_document(spark, tmp_path):
     want = M.hashed(learning.features(Library(spark, str(tmp_path))), ["doc_id"]).withColumn("value", F.round("value", 6))
     assert found.dtypes == want.dtypes
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 10
+
+
+def test_cells_of_long_lines_are_summed_a_few_rows_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(3)
+    rows = [[rng.randrange(50) for _ in range(n)] for n in (0, 3, 900, 5, 40, 0, 2_000, 7)]
+    c, v = pa.array(rows, pa.list_(pa.int32())), pa.array([[float(x) for x in r] for r in rows], pa.list_(pa.float64()))
+    bias = pa.array([7] * len(rows), pa.int32())
+    at_once, one = [], M._row_sums
+    monkeypatch.setattr(M, "_row_sums", lambda n, row, col, value, bias: at_once.append(len(col)) or one(n, row, col, value, bias))
+    monkeypatch.setattr(M, "SUMMED_CELLS", 1_000, raising=False)
+    got = M._summed.func(c, v, bias).to_pylist()
+    assert got == [{"cols": sorted({*r, 7}), "vals": [1.0 if k == 7 else float(k * r.count(k)) for k in sorted({*r, 7})]} for r in rows]
+    assert sum(at_once) == sum(map(len, rows)) and sorted(at_once)[-2:] == [948, 2_000]
+    assert M._summed.func(c.slice(0, 0), v.slice(0, 0), bias.slice(0, 0)).to_pylist() == [] and np.isfinite(at_once).all()
